@@ -6,11 +6,15 @@ unless a kept row conflicts with it. Two physical forms give that same answer.
 * ``fold``: keys of at most ``fold_limit`` rows are gathered into an array and
   folded inside the JVM; one shuffle, and the array has a fixed largest size.
 * ``rounds``: any larger key. Rows enter the cells of ``overlap.explode_cells``,
-  which every conflicting pair shares. In each round a row that is the best
-  undecided one in all of its cells is kept, and undecided rows in those cells
-  that conflict with it drop out. A cell keeps at most one row per round, so a
-  round is linear in the rows: no pairs are listed and no group is gathered.
-  Exact copies lose to their best-ranked twin up front.
+  which every conflicting pair shares. Each round looks at the ``FRONT``
+  best-ranked undecided rows of every cell. A row that is among them in all of
+  its cells, and conflicts with none ranked before it, is kept; undecided rows
+  that conflict with it drop out. A row meets at most ``FRONT`` others per cell,
+  so a round is linear in the rows however full a cell is, and no group is
+  gathered. The best undecided row of a key always wins, so rounds come to an end.
+  Exact copies lose to their best-ranked twin up front. Undecided rows conflict
+  only with undecided rows, so a key that has shrunk to ``fold_limit`` of them
+  is finished by the fold.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visiontables.functions import boxes as B
@@ -26,7 +30,9 @@ from visiontables.operators import overlap as O
 from visiontables.session import checkpoint, is_empty
 
 Order = list[tuple[str, str]]
+FRONT = 16
 _ROW = ["x1", "y1", "x2", "y2"]
+_BOX_LEVELS = 10_000
 
 
 def rank_columns(order: Order, row: str) -> list[Column]:
@@ -64,9 +70,10 @@ def nms(dets: DataFrame, keys: list[str], threshold: float, order: Order = (("sc
     small, large = split_by_size(rows, keys, fold_limit)
     kept = [_fold(small, keys, ranks, conflict).select(*keys, "_row")] if fold_limit > 0 else []
     if not is_empty(large):
-        kept += _rounds(large, keys, ranks, conflict,
+        kept += _rounds(large, keys, ranks, _meet_in_cells(keys, ranks, lambda a, b: conflict(
+                            [b[c] for c in _ROW], [a[c] for c in _ROW])),
                         lambda df: O.explode_cells(df.withColumns(O.core_columns(threshold)), O.level_span(threshold)),
-                        copies=_ROW)
+                        lambda df: _fold(df, keys, ranks, conflict).select(*keys, "_row"), fold_limit, copies=_ROW)
     ids = reduce(DataFrame.unionByName, kept).withColumnRenamed("_row", row)
     return dets.join(ids, [*keys, row], "left_semi")
 
@@ -80,39 +87,59 @@ def _fold(rows: DataFrame, keys: list[str], ranks: list[str], conflict) -> DataF
     return arr.select(*keys, F.inline(kept))
 
 
-def _rounds(rows: DataFrame, keys: list[str], ranks: list[str], conflict, cells: Callable[[DataFrame], DataFrame],
-            copies: list[str] | None = None, losers: Callable | None = None) -> list[DataFrame]:
+def _cell(keys: list[str]) -> list[str]:
+    return [*keys, "cell_lvl", "cell_x", "cell_y"]
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str], ranks: list[str], ordered: bool) -> DataFrame:
+    """Rows ``l`` and ``r`` that share a cell; ``ordered`` keeps r ranked before l."""
+    pack = lambda df, name: df.select(*_cell(keys), F.struct(*[c for c in df.columns if c not in _cell(keys)]).alias(name))
+    j = pack(left, "l").join(pack(right, "r"), _cell(keys))
+    if ordered:
+        rank = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in ranks])
+        return j.where(rank("r") < rank("l"))
+    return j.where(F.col("l._row") != F.col("r._row"))
+
+
+def _meet_in_cells(keys: list[str], ranks: list[str], conflict) -> Callable[[DataFrame, DataFrame, bool], DataFrame]:
+    """Left rows that conflict with a right row of a cell they share."""
+    def meet(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
+        hit = _pairs(left, right, keys, ranks, ordered).where(conflict(F.col("l"), F.col("r")))
+        return hit.select(*keys, F.col("l._row").alias("_row")).distinct()
+
+    return meet
+
+
+def _rounds(rows: DataFrame, keys: list[str], ranks: list[str], meet: Callable[[DataFrame, DataFrame, bool], DataFrame],
+            cells: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], fold_limit: int,
+            copies: list[str] | None = None) -> list[DataFrame]:
     """Decide all rows in linear rounds; returns the kept (keys, _row) parts."""
-    rank = F.struct(*ranks)
-    carry = [c for c in rows.columns if c not in keys]
     done: list[DataFrame] = []
     positive = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     if copies:
         # a box without area overlaps nothing, not even its own copies
         done.append(checkpoint(rows.where(~positive).select(*keys, "_row")))
         rows = rows.where(positive)
-        best = rows.groupBy(*keys, *copies).agg(F.min(rank).alias("_r"))
+        best = rows.groupBy(*keys, *copies).agg(F.min(F.struct(*ranks)).alias("_r"))
         rows = best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in ranks], *copies)
     open_rows = checkpoint(rows)
-    cell = [*keys, "cell_lvl", "cell_x", "cell_y"]
-    while not is_empty(open_rows):
+    best_first = Window.partitionBy(*_cell(keys)).orderBy(*ranks)
+    while True:
+        if fold_limit > 0:
+            few, open_rows = split_by_size(open_rows, keys, fold_limit)
+            if not is_empty(few):
+                done.append(checkpoint(finish(few)))
+        if is_empty(open_rows):
+            return done
         spread = cells(open_rows)
-        best = spread.groupBy(*cell).agg(F.min(F.struct(*ranks, *[c for c in carry if c not in ranks], "ncells")).alias("_b"))
-        won = (best.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-               .where(F.col("_n") == F.col("_b.ncells"))
-               .select(*keys, *[F.col(f"_b.{c}").alias(c) for c in carry]))
-        won = checkpoint(won)
+        front = spread.withColumn("_rn", F.row_number().over(best_first)).where(F.col("_rn") <= FRONT).drop("_rn")
+        whole = (front.groupBy(*keys, "_row").agg(F.count(F.lit(1)).alias("_n"), F.first("ncells").alias("ncells"))
+                 .where(F.col("_n") == F.col("ncells")).select(*keys, "_row"))
+        won_ids = whole.join(meet(front, front, True), [*keys, "_row"], "left_anti")
+        won = checkpoint(open_rows.join(won_ids, [*keys, "_row"], "left_semi"))
         done.append(won.select(*keys, "_row"))
-        if losers is not None:
-            out = losers(open_rows, won)
-        else:
-            rivals = cells(won).select(*cell, F.col("_row").alias("_wrow"), *[F.col(c).alias(f"_w{c}") for c in _ROW])
-            hit = spread.join(rivals, cell).where(
-                (F.col("_row") != F.col("_wrow")) & conflict([F.col(f"_w{c}") for c in _ROW], [F.col(c) for c in _ROW]))
-            out = hit.select(*keys, "_row").distinct()
-        gone = out.unionByName(won.select(*keys, "_row"))
+        gone = meet(spread, cells(won), False).unionByName(won.select(*keys, "_row"))
         open_rows = checkpoint(open_rows.join(gone, [*keys, "_row"], "left_anti"))
-    return done
 
 
 # ---- masks --------------------------------------------------------------------
@@ -139,7 +166,7 @@ def mask_nms(dets: DataFrame, runs: DataFrame, keys: list[str], threshold: float
     if fold_limit > 0:
         kept.append(_fold_masks(small, runs, keys, ranks, meets, threshold, box_fallback, band))
     if not is_empty(large):
-        kept += _mask_rounds(large, runs, keys, ranks, meets, threshold, box_fallback, band, tile)
+        kept += _mask_rounds(large, runs, keys, ranks, meets, threshold, box_fallback, band, tile, fold_limit)
     ids = reduce(DataFrame.unionByName, kept).withColumnRenamed("_row", row)
     return dets.join(ids, [*keys, row], "left_semi")
 
@@ -169,13 +196,12 @@ def _fold_masks(rows, runs, keys, ranks, meets, threshold, box_fallback, band) -
     return arr.select(*keys, F.explode(F.aggregate("_a", none, step)).alias("_row"))
 
 
-def _mask_rounds(rows, runs, keys, ranks, meets, threshold, box_fallback, band, tile) -> list[DataFrame]:
+def _mask_rounds(rows, runs, keys, ranks, meets, threshold, box_fallback, band, tile, fold_limit) -> list[DataFrame]:
     span = O.level_span(threshold)
     mine = checkpoint(runs.join(rows.select(*keys, "_row"), [*keys, "_row"], "left_semi"))
     squares = O.split_bands(mine, tile).select(
         *keys, "_row", F.floor(F.col("x") / tile).alias("cell_x"), F.col("band").alias("cell_y")).distinct()
     squares = checkpoint(squares)
-    positive = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
 
     def cells(df: DataFrame) -> DataFrame:
         # masks of similar area compete in shared squares; the level tells the two families apart
@@ -184,48 +210,40 @@ def _mask_rounds(rows, runs, keys, ranks, meets, threshold, box_fallback, band,
         masked = masked.withColumn("cell_lvl", F.explode(F.sequence(lvl, lvl + span)))
         if box_fallback:
             boxed = O.explode_cells(df.withColumns(O.core_columns(threshold)), span)
-            boxed = boxed.withColumn("cell_lvl", F.col("cell_lvl") + 1000).select(*masked.columns)
+            boxed = boxed.withColumn("cell_lvl", F.col("cell_lvl") + _BOX_LEVELS).select(*masked.columns)
             masked = masked.unionByName(boxed)
-        own = df.select(*df.columns, F.lit(-1000).alias("cell_lvl"), F.col("_row").alias("cell_x"),
-                        F.lit(0).cast("bigint").alias("cell_y"))
         # a private cell keeps rows without any other cell in play
+        own = df.select(*df.columns, F.lit(-_BOX_LEVELS).alias("cell_lvl"), F.col("_row").alias("cell_x"),
+                        F.lit(0).cast("bigint").alias("cell_y"))
         out = masked.unionByName(own.select(*masked.columns))
         n = out.groupBy(*keys, "_row").agg(F.count(F.lit(1)).cast("int").alias("ncells"))
         return out.join(n, [*keys, "_row"])
 
-    def losers(open_rows: DataFrame, won: DataFrame) -> DataFrame:
-        u = mine.join(open_rows.select(*keys, "_row"), [*keys, "_row"], "left_semi")
-        v = mine.join(won.select(*keys, "_row"), [*keys, "_row"], "left_semi")
-        near = _shared(squares, open_rows, won, keys)
-        inter = _pair_intersections(u, v, near, keys)
-        au = open_rows.select(*keys, F.col("_row").alias("_a"), F.col("_area").alias("_aa"))
-        av = won.select(*keys, F.col("_row").alias("_b"), F.col("_area").alias("_ab"))
-        hit = inter.join(au, [*keys, "_a"]).join(av, [*keys, "_b"]).where(
-            meets(F.col("inter") / (F.col("_aa") + F.col("_ab") - F.col("inter"))))
+    def meet(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
+        pairs = _pairs(left, right, keys, ranks, ordered)
+        bare = F.col("l._area").isNull() | F.col("r._area").isNull()
+        both = pairs.where(~bare & (F.col("cell_lvl") < _BOX_LEVELS // 2)).select(
+            *keys, F.col("l._row").alias("_a"), F.col("r._row").alias("_b"),
+            F.col("l._area").alias("_aa"), F.col("r._area").alias("_ab")).distinct()
+        hit = _pair_intersections(both).where(meets(F.col("inter") / (F.col("_aa") + F.col("_ab") - F.col("inter"))))
         out = hit.select(*keys, F.col("_a").alias("_row"))
         if box_fallback:
-            boxed = O.iou_join(open_rows.where(positive).withColumn("_ma", F.col("_area").isNull()),
-                               won.where(positive).withColumn("_mb", F.col("_area").isNull()),
-                               threshold, keys, "_row", "_row", carry_a=["_ma"], carry_b=["_mb"])
-            boxed = boxed.where((F.col("_ma") | F.col("_mb")) & meets(F.col("iou")) & (F.col("_row") != F.col("_row_2")))
-            out = out.unionByName(boxed.select(*keys, "_row"))
+            box = lambda side: [F.col(f"{side}.{c}") for c in _ROW]
+            boxed = pairs.where(bare & meets(B.iou(box("r"), box("l"))))
+            out = out.unionByName(boxed.select(*keys, F.col("l._row").alias("_row")))
         return out.distinct()
 
-    def _shared(sq, open_rows, won, keys):
-        lvl = F.ceil(F.log2(F.col("_area") * 1.0001234567)).cast("int")
-        side = lambda df, name: sq.join(df.where(F.col("_area").isNotNull()).select(*keys, "_row", lvl.alias(f"_l{name}")),
-                                        [*keys, "_row"]).withColumnRenamed("_row", name)
-        j = side(open_rows, "_a").join(side(won, "_b"), [*keys, "cell_x", "cell_y"])
-        j = j.where((F.abs(F.col("_l_a") - F.col("_l_b")) <= span) & (F.col("_a") != F.col("_b")))
-        return j.select(*keys, "_a", "_b").distinct()
-
-    def _pair_intersections(u, v, near, keys):
-        left = near.join(u.withColumnsRenamed({"_row": "_a", "ys": "_ays", "ye": "_aye"}), [*keys, "_a"])
-        right = v.withColumnsRenamed({"_row": "_b", "ys": "_bys", "ye": "_bye"})
+    def _pair_intersections(near: DataFrame) -> DataFrame:
+        left = near.join(mine.withColumnsRenamed({"_row": "_a", "ys": "_ays", "ye": "_aye"}), [*keys, "_a"])
+        right = mine.withColumnsRenamed({"_row": "_b", "ys": "_bys", "ye": "_bye"})
         j = left.join(right, [*keys, "_b", "x"]).where((F.col("_ays") < F.col("_bye")) & (F.col("_bys") < F.col("_aye")))
-        return j.groupBy(*keys, "_a", "_b").agg(F.sum(F.least("_aye", "_bye") - F.greatest("_ays", "_bys")).alias("inter"))
+        return j.groupBy(*keys, "_a", "_b", "_aa", "_ab").agg(
+            F.sum(F.least("_aye", "_bye") - F.greatest("_ays", "_bys")).alias("inter"))
 
-    return _rounds(rows, keys, ranks, None, cells, copies=None, losers=losers)
+    def finish(df: DataFrame) -> DataFrame:
+        return _fold_masks(df, mine, keys, ranks, meets, threshold, box_fallback, band)
+
+    return _rounds(rows, keys, ranks, meet, cells, finish, fold_limit)
 
 
 # ---- clustering ---------------------------------------------------------------
@@ -255,21 +273,27 @@ def leader_cluster(dets: DataFrame, keys: list[str], distance: float = 0.15, ord
     small, large = split_by_size(pts, keys, fold_limit)
     parts = []
     if fold_limit > 0:
-        arr = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, "px", "py", "diag"))).alias("_a"))
+        arr = _fold_leaders(small, keys, ranks, close)
         pt = lambda s: (s["px"], s["py"])
-        hit = lambda acc, d: F.exists(acc, lambda k: close(pt(k), pt(d), d["diag"]))
-        lead = F.aggregate("_a", F.slice("_a", 1, 0), lambda acc, d: F.when(hit(acc, d), acc).otherwise(F.concat(acc, F.array(d))))
         first = lambda d: F.filter("_lead", lambda k: (k["_row"] == d["_row"]) | close(pt(k), pt(d), d["diag"]))[0]["_row"]
-        arr = arr.withColumn("_lead", lead)
         pairs = F.transform("_a", lambda d: F.struct(d["_row"].alias("_row"), first(d).alias("leader")))
         parts.append(arr.select(*keys, F.inline(pairs)))
     if not is_empty(large):
-        parts.append(_cluster_rounds(large, keys, ranks, close, distance))
+        parts.append(_cluster_rounds(large, keys, ranks, close, distance, fold_limit))
     out = reduce(DataFrame.unionByName, parts).withColumnRenamed("_row", row)
     return dets.join(out, [*keys, row])
 
 
-def _cluster_rounds(pts: DataFrame, keys: list[str], ranks: list[str], close, distance: float) -> DataFrame:
+def _fold_leaders(pts: DataFrame, keys: list[str], ranks: list[str], close) -> DataFrame:
+    """Sorted points ``_a`` and leaders ``_lead`` of each (small) key."""
+    arr = pts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, "px", "py", "diag"))).alias("_a"))
+    pt = lambda s: (s["px"], s["py"])
+    hit = lambda acc, d: F.exists(acc, lambda k: close(pt(k), pt(d), d["diag"]))
+    lead = F.aggregate("_a", F.slice("_a", 1, 0), lambda acc, d: F.when(hit(acc, d), acc).otherwise(F.concat(acc, F.array(d))))
+    return arr.withColumn("_lead", lead)
+
+
+def _cluster_rounds(pts: DataFrame, keys: list[str], ranks: list[str], close, distance: float, fold_limit: int) -> DataFrame:
     pts = checkpoint(pts)
     radius = F.greatest(F.col("diag") * distance, F.lit(1e-9))
 
@@ -282,25 +306,25 @@ def _cluster_rounds(pts: DataFrame, keys: list[str], ranks: list[str], close, di
         df = df.withColumns({"_g": grid, "cell_lvl": F.lit(0)})
         return df.withColumn("ncells", F.size("_g")).select("*", F.inline("_g")).drop("_g")
 
-    cell = [*keys, "cell_lvl", "cell_x", "cell_y"]
-
-    def near(a: DataFrame, b: DataFrame) -> DataFrame:
-        rivals = cells(b).select(*cell, F.col("_row").alias("_wrow"), F.struct(*ranks).alias("_wrank"),
-                                 F.col("px").alias("_wx"), F.col("py").alias("_wy"))
-        j = cells(a).join(rivals, cell)
-        return j.where(close((F.col("_wx"), F.col("_wy")), (F.col("px"), F.col("py")), F.col("diag")))
-
-    def losers(open_rows, won):
-        return near(open_rows, won).where(F.col("_row") != F.col("_wrow")).select(*keys, "_row").distinct()
+    near = lambda l, r: close((r["px"], r["py"]), (l["px"], l["py"]), l["diag"])
 
     # copies of a point follow its first one: only that one can lead
     best = pts.groupBy(*keys, "px", "py", "diag").agg(F.min(F.struct(*ranks)).alias("_r"))
     firsts = best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in ranks], "px", "py", "diag")
     shaped = firsts.withColumns({c: F.lit(0.0) for c in _ROW})
-    ids = reduce(DataFrame.unionByName, _rounds(shaped, keys, ranks, None, cells, losers=losers))
+    def finish(df: DataFrame) -> DataFrame:
+        return _fold_leaders(df, keys, ranks, close).select(*keys, F.explode("_lead._row").alias("_row"))
+
+    ids = reduce(DataFrame.unionByName, _rounds(
+        shaped, keys, ranks, _meet_in_cells(keys, ranks, near), cells, finish, fold_limit))
     leaders = checkpoint(firsts.join(ids, [*keys, "_row"], "left_semi"))
-    hit = near(firsts, leaders).groupBy(*keys, "_row").agg(F.min("_wrank").alias("_w"))
-    named = firsts.join(hit, [*keys, "_row"]).select(*keys, "px", "py", F.col("_w._row").alias("leader"))
+    pack = lambda df, name: cells(df).select(*_cell(keys), F.struct(*ranks, "px", "py", "diag").alias(name))
+    hit = pack(firsts, "l").join(pack(leaders, "r"), _cell(keys)).where(near(F.col("l"), F.col("r")))
+    hit = hit.groupBy(*keys, F.col("l._row").alias("_row")).agg(F.min(F.struct(*[F.col(f"r.{c}") for c in ranks])).alias("_w"))
+    # a leader stays its own even where an earlier leader's reach rounds to it
+    own = leaders.select(*keys, "_row", F.lit(True).alias("_own"))
+    named = firsts.join(hit, [*keys, "_row"]).join(own, [*keys, "_row"], "left").select(
+        *keys, "px", "py", F.when(F.col("_own"), F.col("_row")).otherwise(F.col("_w._row")).alias("leader"))
     return pts.join(named, [*keys, "px", "py"]).select(*keys, "_row", "leader")
 
 
