@@ -9,3 +9,16 @@ def processing_order(videos, most, reverse):
     v = v.select("video_id", F.lit(not reverse).alias("forward"), "start", F.explode(F.sequence(lo, hi)).alias("frame_idx"))
     step = F.col("start") - 1 - F.col("frame_idx") if reverse else F.col("frame_idx") - F.col("start")
     return v.select("video_id", "forward", "frame_idx", step.alias("step"))
+
+
+def best_gt_match(truth, cands, runs, keys):
+    from visiontables.operators import overlap as O
+    key = keys
+    a = runs.join(truth.select(*key, "det_id"), [*key, "det_id"], "left_semi").withColumnRenamed("det_id", "truth_id")
+    b = runs.join(cands.select(*key, "det_id"), [*key, "det_id"], "left_semi").withColumnRenamed("det_id", "cand_id")
+    pairs = O.mask_overlap_join(a, b, key, "truth_id", "cand_id")
+    best = pairs.groupBy(*key, "truth_id").agg(F.max(F.struct("iou", -F.col("cand_id"))).alias("_b"))
+    best = best.select(*key, F.col("truth_id").alias("det_id"), F.col("_b.iou").alias("_iou"), (-F.col("_b.col2")).alias("_c"))
+    top = cands.groupBy(*key).agg(F.max_by("det_id", F.struct(F.col("score"), -F.col("det_id"))).alias("_top"))
+    j = truth.select(*key, "det_id").join(best, [*key, "det_id"], "left").join(top, key, "left")
+    return j.select(*key, "det_id", F.coalesce("_c", "_top").alias("candidate"), F.coalesce("_iou", F.lit(0.0)).alias("iou"))
