@@ -27,14 +27,13 @@ def local_session(cores: int | str = 8, app: str = "visiontables", **conf) -> Sp
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A
-    temporary folder is used only in local mode, where driver and executors
-    are one process.
+    It is the one the cluster names in ``spark.checkpoint.dir``. A temporary
+    folder is used only in local mode, where driver and executors are one
+    process.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +42,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="visiontables-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
