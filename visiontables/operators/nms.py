@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from visiontables.functions import boxes as B
 from visiontables.operators import overlap as O
-from visiontables.session import checkpoint, is_empty
+from visiontables.session import checkpoint, is_empty, spread
 
 Order = list[tuple[str, str]]
 FRONT = 16
@@ -80,7 +80,7 @@ def nms(dets: DataFrame, keys: list[str], threshold: float, order: Order = (("sc
 
 def _fold(rows: DataFrame, keys: list[str], ranks: list[str], conflict) -> DataFrame:
     """Greedy pass over one array per key; ``rows`` has few rows per key."""
-    arr = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, *_ROW))).alias("_a"))
+    arr = spread(rows, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, *_ROW))).alias("_a"))
     box = lambda s: tuple(s[c] for c in _ROW)
     step = lambda acc, d: F.when(F.exists(acc, lambda k: conflict(box(k), box(d))), acc).otherwise(F.concat(acc, F.array(d)))
     kept = F.aggregate("_a", F.slice("_a", 1, 0), step)
@@ -189,7 +189,7 @@ def _fold_masks(rows, runs, keys, ranks, meets, threshold, box_fallback, band) -
     both = pairs.unionByName(pairs.select(*keys, F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     foes = both.groupBy(*keys, F.col("_a").alias("_row")).agg(F.collect_set("_b").alias("_foes"))
     full = rows.join(foes, [*keys, "_row"], "left")
-    arr = full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, "_foes"))).alias("_a"))
+    arr = spread(full, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, "_foes"))).alias("_a"))
     none = F.transform(F.slice("_a", 1, 0), lambda s: s["_row"])
     step = lambda acc, d: F.when(F.coalesce(F.arrays_overlap(acc, d["_foes"]), F.lit(False)), acc).otherwise(
         F.concat(acc, F.array(d["_row"])))
@@ -286,7 +286,7 @@ def leader_cluster(dets: DataFrame, keys: list[str], distance: float = 0.15, ord
 
 def _fold_leaders(pts: DataFrame, keys: list[str], ranks: list[str], close) -> DataFrame:
     """Sorted points ``_a`` and leaders ``_lead`` of each (small) key."""
-    arr = pts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, "px", "py", "diag"))).alias("_a"))
+    arr = spread(pts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ranks, "px", "py", "diag"))).alias("_a"))
     pt = lambda s: (s["px"], s["py"])
     hit = lambda acc, d: F.exists(acc, lambda k: close(pt(k), pt(d), d["diag"]))
     lead = F.aggregate("_a", F.slice("_a", 1, 0), lambda acc, d: F.when(hit(acc, d), acc).otherwise(F.concat(acc, F.array(d))))

@@ -18,7 +18,8 @@ from visiontables.operators import overlap as O
 def encode_runs(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Foreground pixels (keys, x, y) to runs."""
     w = Window.partitionBy(*keys, "x").orderBy("y")
-    p = pixels.select(*keys, "x", "y").distinct().withColumn("_island", F.col("y") - F.row_number().over(w))
+    # equal pixels share a dense rank, so repeated ones need no distinct
+    p = pixels.select(*keys, "x", "y").withColumn("_island", F.col("y") - F.dense_rank().over(w))
     return p.groupBy(*keys, "x", "_island").agg(F.min("y").alias("ys"), (F.max("y") + 1).alias("ye")).drop("_island")
 
 
@@ -140,8 +141,15 @@ def resize_runs(runs: DataFrame, src_w: int, src_h: int, dst_w: int, dst_h: int)
 
 # ---- set algebra ---------------------------------------------------------------------
 
-def _sweep(ends: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
-    """Spans between neighbouring ends of a column, with the cover of each weight."""
+def _sweep(ends: DataFrame, keys: list[str], weights: list[str], crowded: bool = False) -> DataFrame:
+    """Spans between neighbouring ends of a column, with the cover of each weight.
+
+    All steps work within a column, so one shuffle by column serves them all.
+    Where many masks crowd a column, equal ends are added up before the shuffle
+    instead.
+    """
+    if not crowded:
+        ends = ends.repartition(*[F.col(k) for k in keys], F.col("x"))
     step = ends.groupBy(*keys, "x", "y").agg(*[F.sum(c).alias(c) for c in weights])
     w = Window.partitionBy(*keys, "x").orderBy("y")
     total = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -165,7 +173,7 @@ def _joined(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def mask_union(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Union of all runs of a key, whatever objects they came from."""
-    s = _sweep(_ends(runs, keys, "n", ["n"]), keys, ["n"])
+    s = _sweep(_ends(runs, keys, "n", ["n"]), keys, ["n"], crowded=True)
     return _joined(s.where(F.col("n") > 0).drop("n"), keys)
 
 
@@ -214,13 +222,13 @@ def drop_shrunk(runs: DataFrame, resolved: DataFrame, keys: list[str], share: fl
 
 
 def mask_edges(runs: DataFrame, keys: list[str], w: int, h: int) -> DataFrame:
-    """Inner pixels whose right or lower neighbour differs."""
+    """Inner pixels whose right or lower neighbour differs; the runs of a mask
+    do not touch each other, as all functions here produce them."""
     own = runs.select(*keys, "x", "ys", "ye")
     right = own.withColumn("x", F.col("x") - 1)
     sides = runs_to_pixels(mask_combine(own, right, keys, "xor"), keys)
     # the pixel above a start and the last pixel of a run see another value below
-    flat = mask_union(own, keys)
-    below = flat.select(*keys, "x", F.explode(F.array(F.col("ys") - 1, F.col("ye") - 1)).alias("y"))
+    below = own.select(*keys, "x", F.explode(F.array(F.col("ys") - 1, F.col("ye") - 1)).alias("y"))
     e = sides.unionByName(below)
     return e.where((F.col("x") >= 1) & (F.col("x") < w - 1) & (F.col("y") >= 1) & (F.col("y") < h - 1)).distinct()
 

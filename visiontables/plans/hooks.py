@@ -14,7 +14,7 @@ from visiontables.operators import nms as N
 from visiontables.operators.filters import accept_yes_no
 from visiontables.operators.select import position_in_group
 from visiontables.operators.tracks import merge_confidence
-from visiontables.session import checkpoint, is_empty
+from visiontables.session import checkpoint, is_empty, spread
 
 DETECTED = "image_id bigint, scale double, tile_id bigint, local_id bigint, x1 double, y1 double, x2 double, y2 double, score double"
 
@@ -73,7 +73,7 @@ def assess_confidence(rows: DataFrame, model: Callable[[pd.DataFrame], str], key
 
     cut = rows.withColumn("_call", F.floor((F.col(number) - 1) / group))
     schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", text string"
-    replies = cut.groupBy(*keys, "_call").applyInPandas(lambda pdf: call(pdf), schema)
+    replies = spread(cut, *keys, "_call").groupBy(*keys, "_call").applyInPandas(lambda pdf: call(pdf), schema)
     lines = confidence_lines(replies.withColumn("_r", F.monotonically_increasing_id()), keys + ["_r"]).drop("_r")
     return lines.withColumnRenamed("mask_no", number).join(rows.select(*keys, number), [*keys, number], "left_semi")
 
@@ -101,7 +101,7 @@ def smart_confidence(rows: DataFrame, first: Callable[[pd.DataFrame], str], agai
         def call(pdf: pd.DataFrame) -> pd.DataFrame:
             return pdf.iloc[[0]][keys].reset_index(drop=True).assign(text=[again(pdf.sort_values("pos"))])
 
-        replies = within.groupBy(*keys, "leader", "part").applyInPandas(lambda pdf: call(pdf), schema)
+        replies = spread(within, *keys, "leader", "part").groupBy(*keys, "leader", "part").applyInPandas(lambda pdf: call(pdf), schema)
         said = confidence_lines(replies.withColumn("_r", F.monotonically_increasing_id()), keys + ["_r"]).drop("_r")
         two = said.withColumnRenamed("mask_no", "pos").join(doubt.select(*keys, "pos"), [*keys, "pos"], "left_semi")
     return merge_confidence(numbered, one, two, [*keys, "pos"])

@@ -53,3 +53,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by ``keys`` over the session's full number of shuffle tasks.
+
+    For steps that cost far more time than their rows have bytes: left to
+    itself, adaptive execution would merge them into few tasks by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
