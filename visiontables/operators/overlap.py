@@ -53,17 +53,18 @@ def explode_cells(df: DataFrame, span: int) -> DataFrame:
     Rows without a positive size match nothing and get no cell.
     """
     df = df.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
-    levels = F.sequence(F.col("lvl"), F.col("lvl") + span)
+    at = lambda name, size: F.floor(F.col(name) / size)
 
-    def at_level(l):
-        size = F.pow(F.lit(2.0), l)
-        xs = F.sequence(F.floor(F.col("kx1") / size), F.floor(F.col("kx2") / size))
-        ys = F.sequence(F.floor(F.col("ky1") / size), F.floor(F.col("ky2") / size))
-        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(
-            l.alias("cell_lvl"), x.alias("cell_x"), y.alias("cell_y")))))
+    def cells_of(size):
+        return (at("kx2", size) - at("kx1", size) + 1) * (at("ky2", size) - at("ky1", size) + 1)
 
-    df = df.withColumn("_cells", F.flatten(F.transform(levels, at_level)))
-    return df.withColumn("ncells", F.size("_cells")).select("*", F.inline("_cells")).drop("_cells")
+    total = sum((cells_of(F.pow(F.lit(2.0), F.col("lvl") + i)) for i in range(1, span + 1)), cells_of(F.pow(F.lit(2.0), F.col("lvl"))))
+    df = df.withColumn("ncells", total.cast("int")).select("*", F.explode(F.sequence(F.col("lvl"), F.col("lvl") + span)).alias("cell_lvl"))
+    df = df.withColumn("_size", F.pow(F.lit(2.0), F.col("cell_lvl")))
+    for axis in "xy":
+        lo, hi = at(f"k{axis}1", F.col("_size")), at(f"k{axis}2", F.col("_size"))
+        df = df.select("*", F.explode(F.sequence(lo, hi)).alias(f"cell_{axis}"))
+    return df.drop("_size")
 
 
 def iou_join(a: DataFrame, b: DataFrame, threshold: float, keys: list[str], id_a: str, id_b: str,
@@ -78,19 +79,21 @@ def iou_join(a: DataFrame, b: DataFrame, threshold: float, keys: list[str], id_a
     span = level_span(threshold)
     core = core_columns(threshold)
 
-    def side(df, rid, name, carry):
+    def side(df, rid, name, carry, own, other):
         df = df.select(*keys, F.col(rid).alias(name), *B.BOX, *carry).withColumns(core)
         df = explode_cells(df, span).drop("ncells")
+        # at a cell's level one of the two must be at home: visitors never meet visitors
+        home = F.array(F.lit(0), F.lit(own))
+        df = df.select("*", F.explode(F.when(F.col("lvl") == F.col("cell_lvl"), home).otherwise(F.array(F.lit(other)))).alias("_role"))
         ren = {c: f"{name}_{c}" for c in [*B.BOX, "kx1", "ky1", "kx2", "ky2", "lvl"]}
         return df.withColumnsRenamed(ren)
 
-    left, right = side(a, id_a, "_a", carry_a), side(b, id_b, "_b", carry_b)
-    j = left.join(right, [*keys, "cell_lvl", "cell_x", "cell_y"])
+    left, right = side(a, id_a, "_a", carry_a, 1, 2), side(b, id_b, "_b", carry_b, 2, 1)
+    j = left.join(right, [*keys, "cell_lvl", "cell_x", "cell_y", "_role"])
     col = lambda p: tuple(F.col(f"{p}_{c}") for c in B.BOX)
     size = F.pow(F.lit(2.0), F.col("cell_lvl"))
     here = (
-        (F.col("cell_lvl") == F.greatest("_a_lvl", "_b_lvl"))
-        & (F.floor(F.greatest("_a_kx1", "_b_kx1") / size) == F.col("cell_x"))
+        (F.floor(F.greatest("_a_kx1", "_b_kx1") / size) == F.col("cell_x"))
         & (F.floor(F.greatest("_a_ky1", "_b_ky1") / size) == F.col("cell_y"))
     )
     if once:
