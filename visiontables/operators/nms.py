@@ -30,7 +30,7 @@ from visiontables.operators import overlap as O
 from visiontables.session import checkpoint, is_empty, spread
 
 Order = list[tuple[str, str]]
-FRONT = 16
+FRONT = 64
 _ROW = ["x1", "y1", "x2", "y2"]
 _BOX_LEVELS = 10_000
 

@@ -53,6 +53,8 @@ def measure_areas(images: DataFrame, detector: Callable, keywords: str = "keywor
     under an earlier keyword is not counted again."""
     asked = images.select("*", F.posexplode(keywords).alias("keyword_no", "keyword")).drop(keywords)
     found = infer(asked, detector, keep=("keyword_no", "keyword"), **options)
+    # the same tile box may turn up under several keywords: ids must tell them apart
+    found = found.withColumn("det_id", F.col("det_id") + F.col("keyword_no").cast("bigint") * (1 << 50))
     once = N.nms(found, ["image_id"], 0.5, order=[("keyword_no", "asc")], strict=True)
     empty = once.select("image_id", "det_id", F.lit(None).cast("bigint").alias("area")).limit(0)
     objects = M.measure_area(once, empty, images)
