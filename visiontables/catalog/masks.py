@@ -228,9 +228,10 @@ def shrunk_dropped(t):
   left join px m on m.image_id = c.image_id and m.det_id = c.det_id and m.x = c.x and m.y = c.y
   left join px r on r.image_id = c.image_id and r.det_id = c.det_id and r.x = c.x + 1 and r.y = c.y
   left join px b on b.image_id = c.image_id and b.det_id = c.det_id and b.x = c.x and b.y = c.y + 1)
-select image_id, det_id, x, y from v where cur <> rgt or cur <> bot""")
+select image_id, det_id, count(*) as edges, sum(x)::bigint as sx, sum(y)::bigint as sy, sum(x * y)::bigint as sxy from v where cur <> rgt or cur <> bot group by 1, 2""")
 def mask_edges(t):
-    return R.mask_edges(t.mask_runs(), KEYS, W, H).select(*KEYS, "x", "y")
+    e = R.mask_edges(t.mask_runs(), KEYS, W, H)
+    return e.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("edges"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
 
 
 @query("rasterized_polygons", "detections", """

@@ -68,13 +68,13 @@ def assess_confidence(rows: DataFrame, model: Callable[[pd.DataFrame], str], key
     Returns (keys, number, confidence) for the rows that got a word.
     """
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[[0]][keys].reset_index(drop=True)
+        head = pdf.iloc[[0]][[*keys, "_call"]].reset_index(drop=True)
         return head.assign(text=[model(pdf.sort_values(number))])
 
     cut = rows.withColumn("_call", F.floor((F.col(number) - 1) / group))
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", text string"
+    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", _call bigint, text string"
     replies = spread(cut, *keys, "_call").groupBy(*keys, "_call").applyInPandas(lambda pdf: call(pdf), schema)
-    lines = confidence_lines(replies.withColumn("_r", F.monotonically_increasing_id()), keys + ["_r"]).drop("_r")
+    lines = confidence_lines(replies, [*keys, "_call"]).drop("_call")
     return lines.withColumnRenamed("mask_no", number).join(rows.select(*keys, number), [*keys, number], "left_semi")
 
 
@@ -96,13 +96,13 @@ def smart_confidence(rows: DataFrame, first: Callable[[pd.DataFrame], str], agai
         clusters = N.leader_cluster(doubt, keys, row=row)
         within = position_in_group(clusters, [*keys, "leader"], row, 1 << 49, "_at")
         within = within.withColumn("part", F.floor((F.col("_at") - 1) / cluster_rows))
-        schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", text string"
+        schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", leader bigint, part bigint, text string"
 
         def call(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pdf.iloc[[0]][keys].reset_index(drop=True).assign(text=[again(pdf.sort_values("pos"))])
+            return pdf.iloc[[0]][[*keys, "leader", "part"]].reset_index(drop=True).assign(text=[again(pdf.sort_values("pos"))])
 
         replies = spread(within, *keys, "leader", "part").groupBy(*keys, "leader", "part").applyInPandas(lambda pdf: call(pdf), schema)
-        said = confidence_lines(replies.withColumn("_r", F.monotonically_increasing_id()), keys + ["_r"]).drop("_r")
+        said = confidence_lines(replies, [*keys, "leader", "part"]).drop("leader", "part")
         two = said.withColumnRenamed("mask_no", "pos").join(doubt.select(*keys, "pos"), [*keys, "pos"], "left_semi")
     return merge_confidence(numbered, one, two, [*keys, "pos"])
 
