@@ -184,3 +184,28 @@ def test_min_area_rect():
     cx, cy, w, h, angle = C.min_area_rect(pts)
     assert (cx, cy) == (pytest.approx(10), pytest.approx(20))
     assert sorted((w, h)) == [pytest.approx(6), pytest.approx(16)]
+
+
+def test_random_points_lie_in_errors(spark):
+    gs, other = random_grids(3, 7, 8, 1), random_grids(3, 7, 8, 2)
+    other[2] = gs[2].copy()
+    for seed in (1, 2):
+        got = {r.k: r for r in C.error_random_points(run_table(spark, gs), run_table(spark, other), ["k"], seed, 8, 7).collect()}
+        for k, (p, t) in enumerate(zip(gs, other)):
+            r = got[k]
+            if k == 2:
+                assert not t[r.y, r.x] and r.label == 0
+            else:
+                assert p[r.y, r.x] != t[r.y, r.x] and r.label == int(t[r.y, r.x])
+
+
+def test_jitter_bounds(spark):
+    from visiontables.functions.boxes import jitter_boxes
+
+    rows = [(i, 10.0, 10.0, 10.0 + i * 20, 60.0, 400, 100) for i in range(1, 15)]
+    df = spark.createDataFrame(rows, "i long, x1 double, y1 double, x2 double, y2 double, w long, h long")
+    a = {r.i: r for r in jitter_boxes(df, ["i"], 3).collect()}
+    assert a == {r.i: r for r in jitter_boxes(df.repartition(3), ["i"], 3).collect()}
+    for i, x1, y1, x2, y2, _, _ in rows:
+        most = min((x2 - x1) * 0.1, 20.0)
+        assert abs(a[i].x1 - x1) <= most and abs(a[i].x2 - x2) <= most and abs(a[i].y1 - y1) <= 5.0 and a[i].y2 != y2
