@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import benchmark_match, packing, secret_scan, token_files
+from visiontables.llm import benchmark_match, packing, quality_model, secret_scan, token_files, toxicity_model
 from visiontables.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,32 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), sha256_of(base).alias("base_sha256"), secret_scan.listed(F.col("found")).alias("spans"))
 
 
+def remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def scored(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of three folds of four."""
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
+    model = toxicity_model.fit_toxicity(documents, labels, message_id="doc_id")
+    return scored(toxicity_model.score_toxicity(documents, model, message_id="doc_id"), remainder(4) == 2)
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels of four folds of five."""
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0)
+    model = quality_model.fit_quality(documents, labels, ("n_chars",), message_id="doc_id")
+    return scored(quality_model.score_quality(documents, model, message_id="doc_id"), remainder(5) == 0)
+
+
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as Simple-8b files and read back."""
