@@ -19,6 +19,7 @@ from visiontables.llm.tables import narrow
 SAMPLE = 8_192
 WORD_BITS = 16
 RANK = 8
+LEAST_STEPS = 700
 _BINS = 16
 _STATS = 14
 
@@ -114,7 +115,7 @@ def fit(sample: pd.DataFrame, metadata: tuple[str, ...], rounds: int = 6, batch:
     model.bias = float(np.log(p / (1 - p)))
     first, feature, value = features(pa.array(sample["text"], pa.string()), [sample[m].to_numpy(np.float64, na_value=np.nan) for m in metadata])
     g_linear, g_factors, g_bias = np.full(n, 1e-2), np.full((n, RANK), 1e-2), 1e-2
-    for _ in range(rounds):
+    for _ in range(max(rounds, min(100, -(-LEAST_STEPS * batch // len(y))))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at : at + batch]

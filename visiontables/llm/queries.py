@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import benchmark_match, packing, quality_model, secret_scan, token_files, toxicity_model
+from visiontables.llm import benchmark_match, jaccard_join, packing, quality_model, secret_scan, token_files, toxicity_model
 from visiontables.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,13 @@ def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(pieces).withColumnRenamed("message_id", "doc_id")
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 85 of 100 four-word shingles."""
+    groups = jaccard_join.join_messages(table(spark, sf_dir, "documents"), message_id="doc_id")
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a passage of the benchmark."""

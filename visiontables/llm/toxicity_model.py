@@ -19,6 +19,7 @@ SAMPLE = 6_144
 BUCKET_BITS = 17
 WIDTH = 16
 GRAMS = (3, 4, 5)
+LEAST_STEPS = 1_200
 
 
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -113,7 +114,7 @@ def fit(sample: pd.DataFrame, rounds: int = 8, batch: int = 32, rate: float = 0.
     weight, bias = rng.normal(0, 0.3, (WIDTH, 2)), np.array([np.log(1 - p), np.log(p)])
     first, gram, part = bags(pa.array(sample["text"], pa.string()))
     g_table, g_weight, g_bias = np.full(table.shape, 1e-4, np.float32), np.full(weight.shape, 1e-4), np.full(2, 1e-2)
-    for _ in range(rounds):
+    for _ in range(max(rounds, min(100, -(-LEAST_STEPS * batch // len(y))))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at : at + batch]
