@@ -34,19 +34,27 @@ def pack_words(values: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray,
     rows = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    wide = np.zeros((rows, block + 60), dtype=np.uint64)
+    wide = np.zeros((rows, block + 60), dtype=np.uint32 if int(values.max()) < 1 << 32 else np.uint64)
     size = np.minimum(block, n - np.arange(rows) * block)
     wide[np.repeat(np.arange(rows), size), B.ragged(np.zeros(rows, np.int64), size)] = values
-    need = np.zeros(wide.shape, dtype=np.int8)
-    for b in BITS[2:]:
-        need += wide >= (np.uint64(1) << np.uint64(b)) if b < 60 else 0
-    # need = how many selectors are too narrow; after = first later place that needs more than a selector gives
-    select = np.full(wide.shape, 15, dtype=np.int8)
-    place = np.arange(wide.shape[1], dtype=np.int32)
+    # the narrowest selector each value fits, then for each selector where the values of a whole word fit
+    need = np.full(wide.shape, 2, dtype=np.int8)
+    for b in BITS[2:15]:
+        need += wide > (1 << int(b)) - 1
+    select = np.full(wide.size, 15, dtype=np.int8)
+    need = need.ravel()
     for s in range(14, 1, -1):
-        after = np.where(need > s - 2, place, np.int32(wide.shape[1]))
-        after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
-        select[after - place >= COUNT[s]] = s
+        fit, width = need <= s, 1
+        while 2 * width <= COUNT[s]:
+            fit[:-width] &= fit[width:]
+            fit[-width:] = False
+            width *= 2
+        more = int(COUNT[s]) - width
+        if more:
+            fit[:-more] &= fit[more:]
+            fit[-more:] = False
+        select[fit] = s
+    select = select.reshape(wide.shape)
     live, at = np.arange(rows), np.zeros(rows, np.int64)
     taken = []
     while len(live):
@@ -62,7 +70,7 @@ def pack_words(values: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray,
     for s in np.unique(chosen):
         k = np.flatnonzero(chosen == s)
         for j in range(COUNT[s]):
-            words[k] |= wide[row[k], at[k] + j] << np.uint64(j * BITS[s])
+            words[k] |= wide[row[k], at[k] + j].astype(np.uint64) << np.uint64(j * BITS[s])
     return words, np.searchsorted(row, np.arange(rows + 1))
 
 
@@ -94,13 +102,13 @@ def _write(vocabulary: str, end: int):
         for segment, b in enumerate(B.slices(batches)):
             ids, first = coder.encode(bpe.texts_of(b.column("text")), end)
             # ids by falling frequency: frequent ones take few bits
-            known, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")
-            rank = np.empty(len(order), np.uint64)
+            n = np.bincount(ids)
+            order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+            rank = np.zeros(len(n), np.uint32)
             rank[order] = np.arange(len(order))
-            words, offsets = pack_words(rank[inverse])
+            words, offsets = pack_words(rank[ids])
             m = b.column("message_id")
-            parts = (known[order].astype("<u4"), offsets.astype("<i8"), words.astype("<u8"),
+            parts = (order.astype("<u4"), offsets.astype("<i8"), words.astype("<u8"),
                      m.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), m.is_null().to_numpy(zero_copy_only=False), np.diff(first).astype("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((file, segment, len(ids), *(p.tobytes() for p in parts)), kinds)], schema=kinds)
 
