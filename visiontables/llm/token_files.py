@@ -129,7 +129,7 @@ def write_token_files(messages: DataFrame, path: str, vocabulary: str, end: int
     written.
     """
     m = narrow(messages, message_id=message_id, text=text).withColumn("message_id", F.col("message_id").cast("bigint"))
-    ordered = m.repartitionByRange("message_id", "text").sortWithinPartitions("message_id", "text")
+    ordered = m.repartitionByRange("message_id").sortWithinPartitions("message_id", "text")
     ordered.mapInArrow(_write(vocabulary, end), _SEGMENT).write.parquet(path)
 
 
