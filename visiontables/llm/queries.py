@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import benchmark_match, jaccard_join, packing, quality_model, secret_scan, token_files, toxicity_model
+from visiontables.llm import benchmark_match, jaccard_join, language_model, packing, quality_model, secret_scan, token_files, toxicity_model
 from visiontables.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,11 @@ def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         sha256_of(names).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document, learnt from six folds of seven."""
+    documents = table(spark, sf_dir, "documents")
+    scores = language_model.score_messages(documents, remainder(7) != 2, message_id="doc_id")
+    return scores.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
