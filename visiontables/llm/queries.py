@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import benchmark_match, jaccard_join, language_model, packing, quality_model, secret_scan, token_files, toxicity_model
+from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, quality_model, secret_scan, token_files, toxicity_model
 from visiontables.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(toxicity_model.score_toxicity(documents, model, message_id="doc_id"), remainder(4) == 2)
 
 
+@query
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings linked by a cosine of 0.9 or more."""
+    linked = embedding_links.link_embeddings(table(spark, sf_dir, "embeddings"), det_id="vec_id")
+    return linked.select("vec_id", "n_links", "component_id", "kept")
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels of four folds of five."""
