@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, quality_model, secret_scan, token_files, toxicity_model
+from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, quality_model, repeated_spans, secret_scan, token_files, toxicity_model
 from visiontables.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,11 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scores = language_model.score_messages(documents, remainder(7) != 2, message_id="doc_id")
     return scores.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that earlier documents hold."""
+    cut = repeated_spans.remove_repeats(table(spark, sf_dir, "documents"), message_id="doc_id")
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), sha256_of(F.col("kept")).alias("kept_sha256"))
