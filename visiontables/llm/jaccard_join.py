@@ -60,10 +60,10 @@ def _signature(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch(shingles: np.ndarray) -> bytes:
+def _sketch(shingles: np.ndarray) -> np.ndarray:
     """Parities of 512 classes of shingles: sets whose sketches differ in k bits differ in at least k shingles."""
     odd = np.bincount((shingles >> _U(55)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(join: Join):
@@ -72,7 +72,7 @@ def _sets(join: Join):
             sets = shingle_sets(b.column("text"), join.width)
             yield pa.RecordBatch.from_arrays(
                 [b.column("message_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([_sketch(s) for s in sets], pa.binary())], names=["message_id", "n", "sig", "sketch"])
+                 pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))], names=["message_id", "n", "sig", "sketch"])
 
     return run
 
@@ -87,14 +87,15 @@ def _prefix(join: Join, s: np.ndarray, long_lists: np.ndarray) -> np.ndarray:
     return s[:p]
 
 
-def _distinct_prefixes(join: Join, batch: pa.RecordBatch, long_lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle, signature and size of the prefix postings of a batch's distinct sets."""
+def _distinct_prefixes(join: Join, batch: pa.RecordBatch, long_lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of a batch's distinct sets: shingle, signature, size, and how many shingles are left from this one on."""
     sets = {_signature(s): s for s in shingle_sets(batch.column("text"), join.width) if len(s)}
     parts = [_prefix(join, s, long_lists) for s in sets.values()]
     size = np.array([len(p) for p in parts], np.int64)
     flat = np.concatenate(parts) if parts else np.zeros(0, _U)
     sig = np.repeat(np.fromiter(sets, np.int64, len(sets)), size)
-    return flat.view(np.int64), sig, np.repeat(np.array([len(s) for s in sets.values()], np.int64), size)
+    left = np.repeat(np.array([len(s) for s in sets.values()], np.int64), size) - B.ragged(np.zeros(len(size), np.int64), size)
+    return flat.view(np.int64), sig, np.repeat(np.array([len(s) for s in sets.values()], np.int64), size), left
 
 
 def _list_lengths(join: Join):
@@ -109,19 +110,19 @@ def _list_lengths(join: Join):
 def _postings(join: Join, long_lists):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _distinct_prefixes(join, b, long_lists.value)], names=["shingle", "sig", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _distinct_prefixes(join, b, long_lists.value)], names=["shingle", "sig", "n", "left"])
 
     return run
 
 
 def _merge_lists(join: Join):
     """Candidates from lists that come sorted by shingle; what is left of long ones goes on as it is."""
-    names = ["long", "shingle", "a", "na", "b", "nb"]
+    names = ["long", "shingle", "a", "na", "b", "nb", "left"]
 
-    def merged(shingle: np.ndarray, sig: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def merged(shingle: np.ndarray, sig: np.ndarray, n: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
         keep = np.ones(len(sig), bool)
         keep[1:] = (shingle[1:] != shingle[:-1]) | (sig[1:] != sig[:-1])
-        shingle, sig, n = shingle[keep], sig[keep], n[keep]
+        shingle, sig, n, rest = shingle[keep], sig[keep], n[keep], rest[keep]
         head = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
         size = np.diff(np.append(head, len(shingle)))
         each = np.repeat(size, size)
@@ -134,7 +135,8 @@ def _merge_lists(join: Join):
             if not len(i):
                 break
             j = i + gap
-            fits = 100 * np.minimum(n[i], n[j]) >= join.percent * np.maximum(n[i], n[j])
+            need = -(-join.percent * (n[i] + n[j]) // (100 + join.percent))
+            fits = np.minimum(rest[i], rest[j]) >= need
             left.append(i[fits]), right.append(j[fits])
         i, j = np.concatenate(left), np.concatenate(right)
         a, b = np.where(sig[i] < sig[j], i, j), np.where(sig[i] < sig[j], j, i)
@@ -142,10 +144,10 @@ def _merge_lists(join: Join):
         no, none = np.zeros(len(a), bool), np.full(len(k), None)
         cols = [np.concatenate([no, np.ones(len(k), bool)]), np.concatenate([shingle[a], shingle[k]]), np.concatenate([sig[a], sig[k]]), np.concatenate([n[a], n[k]])]
         return pa.RecordBatch.from_arrays(
-            [*map(pa.array, cols), pa.array(np.concatenate([sig[b].astype(object), none]), pa.int64()), pa.array(np.concatenate([n[b].astype(object), none]), pa.int64())], names=names)
+            [*map(pa.array, cols), pa.array(np.concatenate([sig[b].astype(object), none]), pa.int64()), pa.array(np.concatenate([n[b].astype(object), none]), pa.int64()), pa.array(np.concatenate([rest[a], rest[k]]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * 4
         for b in batches:
             now = [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
             if not len(now[0]):
@@ -160,22 +162,6 @@ def _merge_lists(join: Join):
     return run
 
 
-def _near(join: Join):
-    """Keep pairs whose sketches do not rule out the required overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, 64) for c in ("sa", "sb"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1)
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            need = -(-join.percent * (na + nb) // (100 + join.percent))
-            yield b.filter(pa.array(differ <= na + nb - 2 * need)).drop_columns(["sa", "sb"])
-
-    return run
-
-
 def _probe(join: Join):
     """Look up each shingle of the smaller set in the larger by binary search, and keep pairs with the required overlap."""
 
@@ -215,8 +201,12 @@ class _Verifier:
         self.blobs: DataFrame | None = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
+        """Those whose sketches do not rule out the required overlap."""
         side = lambda x: self.sketches.select(F.col("sig").alias(x), F.col("sketch").alias("s" + x))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "na", "b", "nb", "sa", "sb").mapInArrow(_near(self.join), "a bigint, na bigint, b bigint, nb bigint")
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n.cast("int"))
+        both = F.col("na") + F.col("nb")
+        need = F.ceil(self.join.percent * both / (100 + self.join.percent))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= both - 2 * need).select("a", "na", "b", "nb")
 
     def fetch(self, members: DataFrame) -> None:
         """Keep the sets of ``members (sig)``."""
@@ -230,7 +220,7 @@ class _Verifier:
         return written(probed, "probed")
 
 
-def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 3, message_id: str = "message_id", text: str = "text") -> DataFrame:
+def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2, message_id: str = "message_id", text: str = "text") -> DataFrame:
     """Groups of messages whose word shingles are similar, directly or by way of others.
 
     A-Z is taken in lower case; words end at ASCII white space. A message's set
@@ -263,26 +253,26 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 3,
     m = narrow(messages, message_id=message_id, text=text).where(F.col("message_id").isNotNull())
     m = m.withColumn("text", F.coalesce("text", F.lit("")))
     kind = m.schema["message_id"].dataType.simpleString()
-    sets = written(m.mapInArrow(_sets(join), f"message_id {kind}, n bigint, sig bigint, sketch binary"), "sets")
+    sets = written(m.mapInArrow(_sets(join), f"message_id {kind}, n bigint, sig bigint, sketch array<bigint>"), "sets")
     verifier = _Verifier(join, m, sets)
 
     lengths = m.select("text").mapInArrow(_list_lengths(join), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     long = written(lengths.where(F.col("n") > join.long_list).orderBy(F.desc("n"), "shingle").limit(MOST_LONG), "long-lists")
     known = np.sort(np.array([r[0] for r in long.select("shingle").collect()], np.int64).view(_U))
     shared = spark.sparkContext.broadcast(known)
-    postings = m.select("text").mapInArrow(_postings(join, shared), "shingle bigint, sig bigint, n bigint")
+    postings = m.select("text").mapInArrow(_postings(join, shared), "shingle bigint, sig bigint, n bigint, left bigint")
     salts = F.when(F.col("length") > SALT_ROWS, F.pmod("sig", F.ceil(F.col("length") / SALT_ROWS))).otherwise(0)
-    salted = postings.join(F.broadcast(long.select("shingle", F.col("n").alias("length"))), "shingle", "left").select("shingle", F.coalesce(salts, F.lit(0)).alias("salt"), "sig", "n")
+    salted = postings.join(F.broadcast(long.select("shingle", F.col("n").alias("length"))), "shingle", "left").select("shingle", F.coalesce(salts, F.lit(0)).alias("salt"), "sig", "n", "left")
     lists = salted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "sig")
-    found = written(lists.select("shingle", "sig", "n").mapInArrow(_merge_lists(join), "long boolean, shingle bigint, a bigint, na bigint, b bigint, nb bigint"), "candidates")
+    found = written(lists.select("shingle", "sig", "n", "left").mapInArrow(_merge_lists(join), "long boolean, shingle bigint, a bigint, na bigint, b bigint, nb bigint, left bigint"), "candidates")
     pairs = written(verifier.near(found.where("not long").select("a", "na", "b", "nb").distinct()), "near")
-    rest = found.where("long").select("shingle", F.col("a").alias("sig"), F.col("na").alias("n")).distinct()
+    rest = found.where("long").select("shingle", F.col("a").alias("sig"), F.col("na").alias("n"), "left").distinct()
     verifier.fetch(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(rest.select("sig")).distinct())
     probed = verifier.links(pairs)
 
     def labelled() -> DataFrame:
         groups = components(probed.where("linked"))
-        return written(rest.join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("shingle", "sig", "n", F.coalesce("component", "sig").alias("label")), "long-lists")
+        return written(rest.join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("shingle", "sig", "n", "left", F.coalesce("component", "sig").alias("label")), "long-lists")
 
     def fits(x: str, y: str):
         return 100 * F.least(x, y) >= join.percent * F.greatest(x, y)
@@ -305,8 +295,9 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 3,
         lists = labelled()
         mixed = lists.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("shingle")
         lists = lists.join(mixed, "shingle")
-        x, y = (lists.select("shingle", *[F.col(c).alias(c + s) for c in ("sig", "n", "label")]) for s in "xy")
-        cross = x.join(y, "shingle").where((F.col("labelx") < F.col("labely")) & fits("nx", "ny"))
+        x, y = (lists.select("shingle", *[F.col(c).alias(c + s) for c in ("sig", "n", "left", "label")]) for s in "xy")
+        enough = (100 + join.percent) * F.least("leftx", "lefty") >= join.percent * (F.col("nx") + F.col("ny"))
+        cross = x.join(y, "shingle").where((F.col("labelx") < F.col("labely")) & enough)
         probed = compare(cross.select(F.col("sigx").alias("a"), F.col("nx").alias("na"), F.col("sigy").alias("b"), F.col("ny").alias("nb")))
 
     groups = components(probed.where("linked"))

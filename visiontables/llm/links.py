@@ -12,24 +12,25 @@ from visiontables.session import is_empty
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` of every id that has a link; the component is its smallest id.
 
-    Contraction rounds: each id points to its smallest neighbour, pointers are
-    followed to their ends by doubling, and links move to these ends until none
-    is left between different ones. Every step is a join or a partial
-    aggregation of rows of two ids; nothing is gathered.
+    Each round points every id to the smallest of itself and its neighbours and
+    moves the links to where their ends point, until all are loops. Stars end
+    after two rounds, chains shrink by halves. Every step is a join or a
+    partial aggregation of rows of two ids; nothing is gathered.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
+    edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
+    edges = written(edges, "links")
+    rounds = []
     while not is_empty(edges):
-        point = written(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p")), "pointers")
-        while True:
-            step = point.alias("x").join(point.alias("y"), F.col("x.p") == F.col("y.u")).select("x.u", F.col("y.p").alias("p"), (F.col("y.p") != F.col("x.p")).alias("moved"))
-            step = written(step, "pointers")
-            point = step.select("u", "p")
-            if is_empty(step.where("moved")):
-                break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        point = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p")), "pointers")
+        rounds.append(point)
         left, right = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = written(edges.join(left, "u").join(right, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "links")
+        moved = edges.join(left, "u").join(right, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
+        edges = written(moved.where("u < v").distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("u").alias("id"), F.col("u").alias("component"))
+    labels = rounds[0].select(F.col("u").alias("id"), F.col("p").alias("component"))
+    for point in rounds[1:]:
         ends = point.select(F.col("u").alias("component"), F.col("p").alias("_p"))
-        labels = written(labels.join(ends, "component", "left").select("id", F.coalesce("_p", "component").alias("component")), "labels")
+        labels = labels.join(ends, "component", "left").select("id", F.coalesce("_p", "component").alias("component"))
     return labels
