@@ -113,7 +113,13 @@ def fit(sample: pd.DataFrame, metadata: tuple[str, ...], rounds: int = 6, batch:
     y = sample["label"].to_numpy(np.float64)
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model.bias = float(np.log(p / (1 - p)))
-    first, feature, value = features(pa.array(sample["text"], pa.string()), [sample[m].to_numpy(np.float64, na_value=np.nan) for m in metadata])
+    parts = []
+    for at in range(0, len(y), 256):
+        some = sample.iloc[at : at + 256]
+        edge, f, x = features(pa.array(some["text"], pa.string()), [some[m].to_numpy(np.float64, na_value=np.nan) for m in metadata])
+        parts.append((np.diff(edge), f.astype(np.int32), x))
+    size, feature, value = (np.concatenate(p) for p in zip(*parts))
+    first = np.concatenate([[0], np.cumsum(size)])
     g_linear, g_factors, g_bias = np.full(n, 1e-2), np.full((n, RANK), 1e-2), 1e-2
     for _ in range(max(rounds, min(100, -(-LEAST_STEPS * batch // len(y))))):
         order = rng.permutation(len(y))
