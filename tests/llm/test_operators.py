@@ -1,0 +1,438 @@
+"""The training-data operators against plain versions, with nulls, empty texts, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from visiontables.llm import (
+    benchmark_match, bpe, embedding_links, gru, jaccard_join, language_model, packing, quality_model, repeated_spans, secret_scan,
+    token_files, toxicity_model,
+)
+
+MESSAGES = "message_id bigint, text string, rules string, row int, blob string, n int, sig int"
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def vocabulary() -> str:
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def messages(spark, rows):
+    """Rows ``(id, text)`` with further columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "x", 1, "b", 2, 3) for i, t in rows], MESSAGES)
+
+
+def prose(seed: int, n: int, words: int = 60) -> list[tuple[int, str]]:
+    rng = random.Random(seed)
+    vocabulary_ = ["".join(rng.choice(["ta", "ne", "ro", "é", "Si", "mu"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        if rows and rng.random() < 0.4:
+            w = rng.choice(rows)[1].split(" ")
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary_)
+        else:
+            w = [rng.choice(vocabulary_) for _ in range(rng.randint(1, words))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+EDGES = [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "a"), (1003, "a"), (1004, "x" * 200_000), (1005, "Same text here now"), (1006, "same TEXT here now")]
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def plain_secrets(t: str) -> list[tuple]:
+    kinds = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
+    found = [(m.start(), k, name, m.end()) for k, (name, p, g, least) in enumerate(kinds) for m in re.finditer(p, t) if len(m[g]) >= least]
+    return [(name, a, b) for a, _, name, b in sorted(found)]
+
+
+def test_secrets_follow_the_ledger(spark):
+    texts = ["éé token=abcdef1 Token : 'short' secret=token:abcdefgh", "AKIA" + "A1" * 10 + " " + "0f" * 15, "clean", None, "password=hunter22"]
+    rows = [*enumerate(texts), (7, texts[1]), (7, texts[0]), (None, texts[4])] + EDGES
+    found, ledger = secret_scan.scan_secrets(messages(spark, rows), rules=secret_scan.BASE)
+    got = found.collect()
+    assert len(got) == len(rows)
+    want = Counter((i, tuple(plain_secrets(t or ""))) for i, t in rows)
+    assert Counter((r["message_id"], tuple((f["rule"], f["start"], f["end"]) for f in r["found"])) for r in got) == want
+    assert ledger.count() == len({t or "" for _, t in rows})
+    # scanned blobs are not scanned again, a new rule version is
+    again, more = secret_scan.scan_secrets(messages(spark, rows), ledger, secret_scan.BASE)
+    assert more.count() == ledger.count() and again.exceptAll(found).isEmpty()
+    newer = (*secret_scan.BASE[:2], secret_scan.Rule("hex", r"[0-9a-f]{30,}", version=2))
+    _, third = secret_scan.scan_secrets(messages(spark, rows), ledger, newer)
+    fresh = third.exceptAll(ledger).collect()
+    assert len(fresh) == ledger.count() and {tuple(r["rules"]) for r in fresh} == {("hex@2",)}
+
+
+def test_secrets_of_nothing(spark):
+    found, ledger = secret_scan.scan_secrets(messages(spark, []))
+    assert found.count() == 0 and ledger.count() == 0
+
+
+def test_masking(spark):
+    found, _ = secret_scan.scan_secrets(messages(spark, [(1, "é password=hunter22 ok"), (2, "clean"), (3, None)]))
+    rows = found.join(messages(spark, [(1, "é password=hunter22 ok"), (2, "clean"), (3, None)]).select("message_id", "text"), "message_id")
+    assert {r[0]: r[1] for r in rows.select("message_id", secret_scan.mask_secrets(F.col("text"), F.col("found"))).collect()} == {1: "é <secret> ok", 2: "clean", 3: None}
+
+
+# ---------------------------------------------------------------- tokens and packing
+
+
+def test_encoder_equals_the_tokenizer():
+    coder = bpe.Encoder(vocabulary())
+    rng = random.Random(3)
+    odd = "ab'slLẞßİıſKÅéè́̈ \n\t \u0085​中😀١½<|>.,!?-_\x1c"
+    texts = ["", None, "x <|endoftext|> y", "a\x1cb", "don't I'LL 12 3.45", "ΑΣ ΑΣ. ﬁ"] + ["".join(rng.choice(odd) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    ids, first = coder.encode(texts, end=1)
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == [*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("values", [[0], [2**59], [0] * 5000, list(range(3000)), [1] * 2047 + [2**40] + [3] * 5, []])
+def test_word_coding_round_trip(values):
+    v = np.array(values, np.uint64)
+    words, offsets = token_files.pack_words(v)
+    assert (token_files.unpack_words(words, offsets, len(v)) == v).all()
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    rows = prose(1, 50) + EDGES + [(None, "no id")]
+    token_files.write_token_files(messages(spark, rows).repartition(5), str(tmp_path / "t"), vocabulary())
+    got = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    tokenizer = bpe.Encoder(vocabulary()).tokenizer
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    at = 0
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(got, want):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (r["message_id"], r["start"], r["n_tokens"], bytes(r["ids"])) == (i, at, len(ids), np.array(ids, "<u4").tobytes())
+        at += len(ids)
+
+
+def test_token_files_of_nothing(spark, tmp_path):
+    token_files.write_token_files(messages(spark, []), str(tmp_path / "t"), vocabulary())
+    assert token_files.read_token_files(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_best_fit_fills_bins():
+    rng = np.random.default_rng(0)
+    length = rng.integers(1, 100, 500)
+    bins = packing.best_fit(length, 100)
+    assert np.bincount(bins, length).max() <= 100 and bins.max() + 1 <= 1.02 * length.sum() / 100 + 1
+
+
+@pytest.mark.parametrize("group_items", [16, 10_000])
+def test_packing(spark, group_items):
+    rows = prose(2, 80, 300) + EDGES
+    pieces = packing.cut_messages(messages(spark, rows), vocabulary(), capacity=128)
+    got = packing.pack_sequences(pieces, capacity=128, group_items=group_items).toPandas()
+    tokenizer = bpe.Encoder(vocabulary()).tokenizer
+    want = Counter()
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), 128):
+            want[i, k // 128, k, len(ids[k : k + 128]), zlib.crc32(ids[k : k + 128])] += 1
+    assert Counter(got[["message_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
+    assert got.groupby("sequence_id")["length"].sum().max() <= 128
+    assert got["sequence_id"].nunique() <= 1.1 * got["length"].sum() / 128 + 2
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack_sequences(packing.cut_messages(messages(spark, []), vocabulary())).count() == 0
+
+
+# ---------------------------------------------------------------- benchmark
+
+
+def plain_passages(rows, items, window=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    passages = {}
+    for i, t in items:
+        w = word.findall((t or "").translate(LOWER))
+        m = min(window, len(w))
+        for k in range(len(w) - m + 1) if m else ():
+            passages.setdefault(tuple(w[k : k + m]), set()).add(i)
+    out = Counter()
+    for i, t in rows:
+        w, hit, found = word.findall((t or "").translate(LOWER)), set(), set()
+        for m in {len(p) for p in passages}:
+            for k in range(len(w) - m + 1):
+                if tuple(w[k : k + m]) in passages:
+                    hit |= set(range(k, k + m))
+                    found |= passages[tuple(w[k : k + m])]
+        out[i, len(w), tuple(sorted(hit)), tuple(sorted(x for x in found if x is not None))] += 1
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_passages(spark, block_bytes):
+    rng = random.Random(5)
+    rows = prose(4, 60)
+    items = [(k, " ".join(rng.choice(rows)[1].upper().split(" ")[: rng.choice([1, 2, 5, 14, 30])])) for k in range(25)]
+    items += [(None, rows[3][1]), (90, None), (91, "--"), (5, items[5][1]), (92, items[5][1])]
+    rows += EDGES + [(2000, rows[3][1] + "," + rows[4][1])]
+    annotations = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, noun_phrase string, text int")
+    got = benchmark_match.mark_phrases(messages(spark, rows), annotations, window=6, block_bytes=block_bytes).collect()
+    flat = Counter((r["message_id"], r["n_words"], tuple(x for s in r["hits"] for x in range(s["start"], s["end"])), tuple(r["items"])) for r in got)
+    assert flat == plain_passages(rows, items, 6)
+    clean = benchmark_match.keep_clean(messages(spark, rows), annotations, window=6, block_bytes=block_bytes)
+    assert clean.columns == MESSAGES.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ")
+    assert Counter(r["message_id"] for r in clean.collect()) == Counter(r["message_id"] for r in got if not r["hits"])
+
+
+def test_passages_of_nothing(spark):
+    empty = spark.createDataFrame([], "item_id bigint, noun_phrase string")
+    assert [r["hits"] for r in benchmark_match.mark_phrases(messages(spark, [(1, "a b")]), empty).collect()] == [[]]
+    assert benchmark_match.mark_phrases(messages(spark, []), empty).count() == 0
+
+
+# ---------------------------------------------------------------- similarity
+
+
+def roots(nodes, links):
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    return frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("long_list", [32, 2])
+def test_jaccard_join(spark, long_list):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = prose(6, 80, 150)
+    for i in range(60):  # many near copies of one text, some of them too far apart
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        rows.append((300 + i, " ".join(w)))
+    rows += EDGES + [(2001, None), (None, rows[0][1])]
+    got = jaccard_join.join_messages(messages(spark, rows), jaccard_join.Join(long_list=long_list)).collect()
+    rows = [r for r in rows if r[0] is not None]
+    sets = [(i, shingles(t)) for i, t in rows]
+    links = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    want = roots({i for i, _ in rows}, links)
+    assert Counter((r["message_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((i, len(s), want[i]) for i, s in sets)
+
+
+def test_jaccard_join_of_nothing(spark):
+    assert jaccard_join.join_messages(messages(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_embedding_links(spark, tile):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 16))
+    v = np.concatenate([x[rng.integers(0, 12, 70)] + rng.normal(size=(70, 16)) * rng.choice([0, 0.05, 0.2], (70, 1)), rng.normal(size=(30, 16))]).astype(np.float32)
+    v[:8] = v[8]
+    rows = [(i, [float(a) for a in r]) for i, r in enumerate(v)]
+    odd = [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [float("inf")] + [1.0] * 15), (504, [None] + [1.0] * 15), (505, []), (None, rows[0][1]), (506, [1.0, 2.0]), (507, [2.0, 4.0])]
+    d = spark.createDataFrame([(i, r, 1, 2) for i, r in rows + odd], "det_id bigint, embedding array<float>, first int, vector int")
+    got = {r["det_id"]: r for r in embedding_links.link_embeddings(d, tile=tile).collect()}
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    i, j = np.nonzero(np.triu(near, 1))
+    want = roots(range(100), zip(i.tolist(), j.tolist()))
+    for k in range(100):
+        assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (near[k].sum() - 1, want[k], want[k] == k)
+    assert [got[k]["n_links"] for k in (500, 501, 502, 503, 504, 505, None, 506, 507)] == [0] * 7 + [1, 1]
+    assert got[507]["component_id"] == 506 and embedding_links.link_embeddings(d.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- passages
+
+
+def plain_repeats(rows):
+    out, n = Counter(), repeated_spans.LEAST
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - n + 1) if i is not None else ():
+            first[b[k : k + n]] = min(i, first.get(b[k : k + n], i))
+    for i, t in rows:
+        b = (t or "").encode()
+        cut = bytearray(len(b))
+        for k in range(len(b) - n + 1) if i is not None else ():
+            if first[b[k : k + n]] < i:
+                cut[k : k + n] = b"\1" * n
+        out[i, len(b), tuple(k for k in range(len(b)) if cut[k]), bytes(x for x, c in zip(b, cut) if not c)] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [16_384, 3])
+def test_repeats(spark, parts, monkeypatch):
+    monkeypatch.setattr(repeated_spans, "GROUP_SNIPPETS", parts)
+    monkeypatch.setattr(repeated_spans, "SHARD_SNIPPETS", 5)
+    rng = random.Random(9)
+    rows = prose(7, 60, 80)
+    passage = "a passage that many of them hold, at times é with \0 other words around it, and " * 2
+    for i in range(40):
+        at = rng.randrange(len(passage) - 60)
+        rows.append((100 + i, "".join(rng.choice("abc ") for _ in range(rng.randrange(40))) + passage[at : at + rng.randrange(45, 160)] + "".join(rng.choice("xyz ") for _ in range(rng.randrange(40)))))
+    rows += [(400, "be " * 60), (401, "be " * 70 + "so"), (402, "y" * 49), (403, "y" * 50), (404, "y" * 51), (404, "y" * 51), (None, "y" * 60)] + EDGES[:5]
+    rng.shuffle(rows)
+    got = repeated_spans.remove_repeats(messages(spark, rows).repartition(4)).collect()
+    flat = Counter((r["message_id"], r["n_bytes"], tuple(x for s in r["removed"] for x in range(s["start"], s["end"])), bytes(r["kept"])) for r in got)
+    assert flat == plain_repeats(rows)
+    assert all(a["end"] < b["start"] for r in got for a, b in zip(r["removed"], r["removed"][1:]))
+
+
+def test_repeats_of_nothing(spark):
+    assert repeated_spans.remove_repeats(messages(spark, [])).count() == 0
+
+
+def test_merged_transform_finds_all_repeats():
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 30))) for _ in range(40)]
+    shards = [repeated_spans.Shard(texts[k : k + 7]) for k in range(0, 40, 7)]
+    (shard, row), (begin, end) = repeated_spans.repeated(shards, 6)
+    got = Counter()
+    for a, b in zip(begin, end):
+        where = [(7 * int(s) + int(shards[s].text[shards[s].suffix[r]]), int(shards[s].place[shards[s].suffix[r]])) for s, r in zip(shard[a:b], row[a:b])]
+        strings = {texts[t][p : p + 6] for t, p in where}
+        assert len(strings) == 1
+        got[strings.pop()] += len(where)
+    every = Counter(t[k : k + 6] for t in texts for k in range(len(t) - 5))
+    assert got == {k: n for k, n in every.items() if n > 1}
+
+
+# ---------------------------------------------------------------- models
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame([(i, int(y), 5) for i, y in rows], "message_id bigint, label int, text int")
+
+
+def auc(y, s):
+    order = np.argsort(s)
+    rank = np.empty(len(s))
+    rank[order] = np.arange(len(s))
+    y = np.array(y, bool)
+    return (rank[y].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (~y).sum())
+
+
+def test_toxicity_meets_unseen_misspellings(spark):
+    rng = random.Random(2)
+    rows = [(i, t) for i, (_, t) in enumerate(prose(11, 240, 40))]
+    bad = lambda i: rng.choice(["grobian", "schuft"]) + (rng.choice(["", "s", "o"]) if i < 160 else rng.choice(["er", "xe", "ig"]))
+    rows = [(i, t + " " + bad(i) + " " + bad(i) if i % 3 == 0 else t) for i, t in rows] + EDGES
+    labels = labelled(spark, [(i, i % 3 == 0) for i in range(160)] + [(1000, 0)]).withColumnRenamed("label", "toxic").unionByName(spark.createDataFrame([(None, 1, 5), (3, None, 5)], "message_id bigint, toxic int, text int"))
+    model = toxicity_model.fit_toxicity(messages(spark, rows), labels)
+    got = toxicity_model.score_toxicity(messages(spark, rows), model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    held = [(r["message_id"] % 3 == 0, r["score"]) for r in got if 160 <= r["message_id"] < 240]
+    assert auc(*zip(*held)) > 0.9
+
+
+def test_quality_tells_junk(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["JUNK!!"] * rng.randint(5, 30)) if i % 4 == 0 else t) for i, (_, t) in enumerate(prose(12, 240, 40))] + EDGES
+    labels = labelled(spark, [(i, i % 4 != 0) for i in range(160)]).withColumnRenamed("label", "quality")
+    m = messages(spark, rows).withColumn("turn", F.when(F.col("message_id") % 5 > 0, F.col("message_id")))
+    model = quality_model.fit_quality(m, labels, ("turn",))
+    got = quality_model.score_quality(m, model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    held = [(r["message_id"] % 4 != 0, r["score"]) for r in got if 160 <= r["message_id"] < 240]
+    assert auc(*zip(*held)) > 0.95
+    kept = quality_model.keep_quality(m, model)
+    assert kept.schema == m.schema and Counter(r["message_id"] for r in kept.collect()) == Counter(r["message_id"] for r in got if r["score"] >= 0.3)
+
+
+def test_pairs_by_the_sum_of_squares():
+    rng = np.random.default_rng(0)
+    model = quality_model.QualityModel(0.3, rng.normal(size=20), rng.normal(size=(20, 3)))
+    f, x = rng.integers(0, 20, 9), rng.normal(size=9)
+    pairs = sum(model.factors[f[i]] @ model.factors[f[j]] * x[i] * x[j] for i in range(9) for j in range(i))
+    assert np.isclose(model.logits(np.array([0, 9]), f, x)[0], 0.3 + model.linear[f] @ x + pairs)
+
+
+def test_models_without_labels(spark):
+    none = labelled(spark, [])
+    m = messages(spark, EDGES)
+    for scores in (toxicity_model.score_toxicity(m, toxicity_model.fit_toxicity(m, none, toxic="label")), quality_model.score_quality(m, quality_model.fit_quality(m, none, quality="label"))):
+        assert {r["score"] for r in scores.collect()} == {0.5}
+    model = quality_model.fit(pd.DataFrame({"text": [], "label": []}), ())
+    assert quality_model.score_quality(messages(spark, []), model).count() == 0
+
+
+def test_gradients(monkeypatch):
+    monkeypatch.setattr(gru, "_F", np.float64)
+    rng = np.random.default_rng(0)
+    model = {k: 3 * v.astype(np.float64) for k, v in gru.start(rng.integers(1, 50, 64), 4).items()}
+    reader, tokens, first = gru.Reader(model, 5), rng.integers(6, 64, 40), np.array([0, 11, 23])
+    tokens = tokens[:23]
+    tokens[[10, 22]] = 5
+    grads = {k: np.zeros_like(v) for k, v in model.items()}
+    for _, _, stream, before, begin, t0, live, h in reader.windows(tokens, first):
+        keep, hidden, at, table = [], [], [], reader.table()
+        for j, k in enumerate(live):
+            h = reader.run(before[begin[:k] + t0 + j], h[:k], table, keep)
+            hidden.append(h), at.append(begin[:k] + t0 + j)
+        reader.state, at = h, np.concatenate(at)
+        _, back = reader.output(np.concatenate(hidden), stream[at], grads)
+        reader._back(keep, back, live, grads)
+    for name, value in model.items():
+        flat = value.reshape(-1)
+        for i in rng.integers(0, flat.size, 3):
+            old, e, both = flat[i], 1e-5, []
+            for x in (old + e, old - e):
+                flat[i] = x
+                both.append(-reader.score(tokens, first).sum())
+            flat[i] = old
+            assert np.isclose((both[0] - both[1]) / (2 * e), grads[name].reshape(-1)[i], rtol=1e-3, atol=1e-6)
+
+
+def test_probabilities_sum_to_one():
+    model = gru.start(np.arange(64), 4)
+    reader = gru.Reader(model, 5)
+    hidden = np.random.default_rng(1).normal(size=(1, 4)).astype(np.float32)
+    logp, _ = reader.output(np.repeat(hidden, 64, axis=0), np.arange(64))
+    assert np.isclose(np.exp(logp).sum(), 1, atol=1e-4)
+
+
+@pytest.mark.parametrize("common", [50, 1 << 19])
+def test_language_model(spark, common, monkeypatch):
+    monkeypatch.setattr(language_model, "COMMON", common)
+    rows = prose(13, 150, 50) + EDGES + [(None, "x y"), (2000, None)]
+    got = language_model.score_messages(messages(spark, rows), F.col("message_id") % 7 != 2).collect()
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), "\0end"]
+    c = Counter(w for i, t in rows if i is not None and i % 7 != 2 for w in tokens(t))
+    total, types = sum(c.values()), len(c)
+    want = sorted((i is not None, i or 0, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), total) for i, t in rows)
+    assert sorted((r["message_id"] is not None, r["message_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == want
+    base = sorted(sum(math.log10((c[w] + 1) / (total + types + 1)) for w in tokens(t)) for _, t in rows)
+    assert np.allclose(sorted(r["base_score"] for r in got), base) and all(r["score"] < 0 for r in got)
+
+
+def test_language_model_without_training(spark):
+    got = language_model.score_messages(messages(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
+    assert {(r["message_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in got} == {(1, 3, 0, 0.0), (2, 1, 0, 0.0)}
+    assert language_model.score_messages(messages(spark, []), F.lit(True)).count() == 0

@@ -176,16 +176,11 @@ def mark_phrases(
     number; each block is one pass, so tables in memory stay bounded.
     """
     m = narrow(messages, message_id=message_id, text=text).withColumn("message_id", F.col("message_id").cast("bigint"))
-    items = narrow(annotations, item_id=item_id, text=noun_phrase).where(F.col("text").isNotNull()).withColumn("item_id", F.col("item_id").cast("bigint"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    passes = []
-    if blocks > 1:
+    blocks = _blocks(annotations, window, block_bytes, item_id, noun_phrase)
+    if len(blocks) > 1:
         m = written(m.withColumn("row", F.monotonically_increasing_id()), "messages")
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct()
-        passes.append(_pass(m, *tables([(r[0], r[1]) for r in block.toLocalIterator()], window)))
-    out = passes[0] if blocks == 1 else _combined(passes)
+    passes = [_pass(m, patterns, ids) for patterns, ids in blocks]
+    out = passes[0] if len(blocks) == 1 else _combined(passes)
     return out.withColumnRenamed("message_id", message_id)
 
 
@@ -203,3 +198,32 @@ def _combined(passes: list[DataFrame]) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     return g.select("message_id", "n_words", _merged("h").alias("hits"), "items")
+
+
+def keep_clean(messages: DataFrame, annotations: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text", item_id: str = "item_id", noun_phrase: str = "noun_phrase") -> DataFrame:
+    """The rows of ``messages`` without any passage of an evaluation phrase (see ``mark_phrases``), all columns as they were."""
+
+    def clean(patterns: list[Patterns]):
+        mark = _mark(patterns, [0] * (1 + max((int(p.items.max()) for p in patterns), default=0)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in B.slices(batches, text):
+                bare = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text)], names=["message_id", "text"])
+                hit = np.concatenate([np.diff(x.column("hits").offsets.to_numpy()) > 0 for x in mark(iter([bare]))])
+                yield b.filter(pa.array(~hit))
+
+        return run
+
+    out = messages
+    for patterns, _ in _blocks(annotations, window, block_bytes, item_id, noun_phrase):
+        out = out.mapInArrow(clean(patterns), messages.schema)
+    return out
+
+
+def _blocks(annotations: DataFrame, window: int, block_bytes: int, item_id: str, noun_phrase: str) -> list[tuple[list[Patterns], list[int | None]]]:
+    """Tables of each block of phrases; the number of blocks follows the phrases' bytes."""
+    items = narrow(annotations, item_id=item_id, text=noun_phrase).where(F.col("text").isNotNull()).withColumn("item_id", F.col("item_id").cast("bigint"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    of_block = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().toLocalIterator()
+    return [tables([(r[0], r[1]) for r in of_block(k)], window) for k in range(blocks)]
