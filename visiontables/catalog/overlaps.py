@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from visiontables.catalog.registry import query
@@ -179,6 +181,22 @@ def cluster_extents(t):
     return N.cluster_extent(N.leader_cluster(t.detections(), ["image_id"]), ["image_id"])
 
 
+# some boxes come relative to the image, some with inverted corners, some beyond the border
+_BENT = """case det_id % 4 when 1 then x1 / 2000.0 when 2 then x2 when 3 then x1 - 150 else x1 end as x1, case det_id % 4 when 1 then y1 / 2000.0 else y1 end as y1,
+ case det_id % 4 when 1 then x2 / 2000.0 when 2 then x1 when 3 then x2 + 150 else x2 end as x2, case det_id % 4 when 1 then y2 / 2000.0 when 3 then y2 + 900 else y2 end as y2"""
+
+
+@query("repaired_extents", "detections images", f"""
+, b as (select image_id, (det_id % 7)::bigint as leader, {_BENT} from detections),
+ s as (select b.image_id, leader, w, h, case when least(x1, y1, x2, y2) >= 0 and greatest(x1, y1, x2, y2) <= 1 then w else 1 end as fw,
+  case when least(x1, y1, x2, y2) >= 0 and greatest(x1, y1, x2, y2) <= 1 then h else 1 end as fh, x1, y1, x2, y2 from b join images i on i.image_id = b.image_id)
+select image_id, leader, count(*) as members, min(greatest(0.0::double, least(least(x1 * fw, x2 * fw), w - 1))) as x1, min(greatest(0.0::double, least(least(y1 * fh, y2 * fh), h - 1))) as y1,
+ max(greatest(0.0::double, least(greatest(x1 * fw, x2 * fw), w))) as x2, max(greatest(0.0::double, least(greatest(y1 * fh, y2 * fh), h))) as y2 from s group by 1, 2""")
+def repaired_extents(t):
+    bent = t.detections().selectExpr("image_id", "det_id % 7 as leader", *[e.strip() for e in re.split(r",(?=\s*case)", _BENT)])
+    return N.cluster_extent(bent, ["image_id"], t.images())
+
+
 @query("prompt_summaries", "detections", """
 select image_id, prompt, count(*) as found, count(*) filter (where score >= 0.9) as strong, count(*) filter (where score >= 0.9) = 0 as failed
  from detections group by image_id, prompt""")

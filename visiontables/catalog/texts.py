@@ -184,7 +184,7 @@ def pruned_contexts(t):
 # ---- documents and references --------------------------------------------------------------------
 
 @query("document_rows", "detections images", """
-select image_id, row_number() over (partition by image_id order by score desc, det_id) as det_id, x1, y1, x2, y2, score, h as orig_img_h from detections join images using (image_id)""")
+select image_id, det_id, x1, y1, x2, y2, score, h as orig_img_h from detections join images using (image_id)""")
 def document_rows(t):
     docs = R.to_documents(t.detections(), t.images())
     return R.from_documents(docs).select("image_id", "det_id", "x1", "y1", "x2", "y2", "score", "orig_img_h")

@@ -311,7 +311,7 @@ def delayed_emission(t):
 select d.video_id, d.forward, d.frame_idx, o.det_id from d join track_obs o on o.video_id = d.video_id and o.frame_idx = d.frame_idx""")
 def both_directions(t):
     v = t.track_obs().groupBy("video_id").agg((F.max("frame_idx") + 1).alias("n"), F.min(F.when(F.col("score") > 0.9, F.col("frame_idx"))).alias("start"))
-    both = K.processing_order(v, 10_000, False).unionByName(K.processing_order(v, 10_000, True))
+    both = K.processing_order(v, None, False).unionByName(K.processing_order(v, None, True))
     return both.join(t.track_obs(), ["video_id", "frame_idx"]).select("video_id", "forward", "frame_idx", "det_id")
 
 

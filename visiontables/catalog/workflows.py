@@ -9,8 +9,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from visiontables.catalog.overlaps import _IOU, duck_greedy
+from visiontables.catalog.overlaps import duck_iou
 from visiontables.catalog.registry import query
+from visiontables.operators.runs import encode_text
 from visiontables.plans import hooks as H
 from visiontables.plans import images as PI
 from visiontables.plans import videos as PV
@@ -18,7 +19,8 @@ from visiontables.streaming.lifecycle import TrackerConfig, bidirectional
 
 
 def two_boxes(tiles: pd.DataFrame) -> pd.DataFrame:
-    """Two boxes per tile, placed by the tile's numbers."""
+    """Two boxes per tile, placed by the tile's numbers; the first fills its
+    box with a mask as far as the tile goes."""
     parts = []
     for i in (0, 1):
         p = tiles.drop(columns=["tx0", "ty0", "tx1", "ty1"]).copy()
@@ -29,70 +31,127 @@ def two_boxes(tiles: pd.DataFrame) -> pd.DataFrame:
         p["x2"] = p["x1"] + 60.0 + im % 40
         p["y2"] = p["y1"] + 50.0 + ti % 30
         p["score"] = ((im * 31 + ti * 17 + i * 29) % 100) / 100.0
+        w, h = tiles["tx1"] - tiles["tx0"], tiles["ty1"] - tiles["ty0"]
+        p["counts"] = [_filled(*map(int, v)) if i == 0 else None for v in zip(w, h, p["x1"], p["y1"], p["x2"], p["y2"])]
         parts.append(p)
     return pd.concat(parts)
 
 
+def _filled(w: int, h: int, x1: int, y1: int, x2: int, y2: int) -> str | None:
+    """The mask text of a rectangle in a tile; none if nothing of it is inside."""
+    x2, y2 = min(x2, w), min(y2, h)
+    if x1 >= x2 or y1 >= y2:
+        return None
+    if y2 - y1 == h:
+        lengths = [x1 * h, (x2 - x1) * h]
+    else:
+        lengths = [x1 * h + y1] + [y2 - y1, h - (y2 - y1)] * (x2 - x1 - 1) + [y2 - y1]
+    rest = w * h - sum(lengths)
+    return encode_text(lengths + [rest] * (rest > 0))
+
+
 def says_yes(rows: pd.DataFrame) -> pd.Series:
     return pd.Series(["yes" if v % 3 else "No." for v in rows["det_id"] + rows["image_id"]], index=rows.index)
 
 
-_FOUND = """
+def _overlap(a: str, b: str) -> str:
+    """Overlap of masks (rectangles here), of boxes where one has no mask."""
+    masks = duck_iou(a, b)
+    for box, mask in (("x1", "u1"), ("y1", "v1"), ("x2", "u2"), ("y2", "v2")):
+        masks = masks.replace("." + box, "." + mask)
+    return f"(case when {a}.m and {b}.m then {masks} else {duck_iou(a, b)} end)"
+
+
+def _greedy(src: str, order: str, meets: str, key: str) -> str:
+    row = "{" + ", ".join(f"'{c}': {c}" for c in ("det_id", "x1", "y1", "x2", "y2", "m", "u1", "v1", "u2", "v2")) + "}"
+    return f"""
+select {key}, unnest(kept).det_id as det_id from (select {key}, list_reduce(rows, lambda acc, nx:
+  case when len(list_filter(acc, lambda k: {_overlap('k', 'nx[1]')} {meets})) > 0 then acc else list_concat(acc, nx) end) as kept
+ from (select {key}, list([{row}] order by {order}) as rows from {src} group by {key}))"""
+
+
+def _found(*asked: str) -> str:
+    """``kd``: what inference keeps for each of the words asked for (none: without words)."""
+    words = ", ".join(f"({k}, '{w}')" for k, w in enumerate(asked)) or "(0, '')"
+    name = "concat_ws('|', lev, t, i" + (", no, ask" if asked else "") + ")"
+    return f"""
 , lv as (select image_id, scale, lev, w as ow, h as oh, cast(floor(w * scale) as bigint) as w, cast(floor(h * scale) as bigint) as h from big_images,
   (values (cast(1.0 as double), 1), (cast(0.5 as double), 2)) s(scale, lev)),
  ax as (select *, unnest(range(0, cast(case when w <= 512 then 1 else ceil((w - 512) / 435.0) + 1 end as bigint))) as ix from lv),
  xy as (select *, unnest(range(0, cast(case when h <= 512 then 1 else ceil((h - 512) / 435.0) + 1 end as bigint))) as iy from ax),
  tl as (select *, row_number() over (partition by image_id, scale order by iy, ix) - 1 as t, greatest(0, least(ix * 435, w - 512)) as ox, greatest(0, least(iy * 435, h - 512)) as oy from xy),
  bx as (select *, (image_id * 7 + t * 13 + i * 60) % 100 as a, (image_id * 11 + i * 40) % 90 as b, ((image_id * 31 + t * 17 + i * 29) % 100) / 100.0::double as score from tl, (values (0), (1)) k(i)),
- pl as (select image_id, scale, lev::bigint * 17592186044416 + t * 1048576 + i as det_id, score, greatest(0.0, least((a + ox) / scale, ow::double)) as x1, greatest(0.0, least((b + oy) / scale, oh::double)) as y1,
-  greatest(0.0, least((a + 60 + image_id % 40 + ox) / scale, ow::double)) as x2, greatest(0.0, least((b + 50 + t % 30 + oy) / scale, oh::double)) as y2 from bx),
+ ms as (select *, i = 0 and a < least(512, w) and b < least(512, h) as m, least(a + 60 + image_id % 40, least(512, w)) as c, least(b + 50 + t % 30, least(512, h)) as d,
+  cast(concat('0x', substr(md5({name}), 1, 15)) as bigint) as det_id from bx, (values {words}) q(no, ask)),
+ pl as (select image_id, scale, no, ask, det_id, score, m, ceil((a + ox) * ow / w::double)::bigint as u1, ceil((b + oy) * oh / h::double)::bigint as v1, ceil((c + ox) * ow / w::double)::bigint as u2, ceil((d + oy) * oh / h::double)::bigint as v2,
+  greatest(0.0, least((a + ox) / scale, ow::double)) as x1, greatest(0.0, least((b + oy) / scale, oh::double)) as y1,
+  greatest(0.0, least((a + 60 + image_id % 40 + ox) / scale, ow::double)) as x2, greatest(0.0, least((b + 50 + t % 30 + oy) / scale, oh::double)) as y2 from ms),
  fd as (select * from pl where score >= 0.3 and x2 > x1 and y2 > y1),
- kp as (""" + duck_greedy("fd", "score desc, scale, det_id", _IOU + " >= 0.5") + ")\n"
+ kp as ({_greedy("fd", "score desc, scale, det_id", ">= 0.5", "image_id, no")}),
+ kd as (select fd.* from fd join kp on kp.image_id = fd.image_id and kp.no = fd.no and kp.det_id = fd.det_id)
+"""
 
 
-@query("inferred_boxes", "big_images", _FOUND + "select fd.image_id, fd.det_id, score, x1, y1, x2, y2 from fd join kp on kp.image_id = fd.image_id and kp.det_id = fd.det_id")
+@query("inferred_boxes", "big_images", _found() + "select image_id, det_id, score, x1, y1, x2, y2 from kd")
 def inferred_boxes(t):
-    return PI.infer(t.big_images(), two_boxes, 0.3).select("image_id", "det_id", "score", "x1", "y1", "x2", "y2")
+    return PI.infer(t.big_images(), two_boxes, 0.3)[0].select("image_id", "det_id", "score", "x1", "y1", "x2", "y2")
 
 
-@query("counted_objects", "big_images", _FOUND + """
+@query("inferred_masks", "big_images", _found() + "select image_id, det_id, u2 - u1 as columns, (u2 - u1) * (v2 - v1) as area from kd where m")
+def inferred_masks(t):
+    runs = PI.infer(t.big_images(), two_boxes, 0.3)[1]
+    return runs.groupBy("image_id", "det_id").agg(F.count(F.lit(1)).alias("columns"), F.sum(F.col("ye") - F.col("ys")).alias("area"))
+
+
+@query("counted_objects", "big_images", _found() + """
 select b.image_id, count(det_id) as raw, count(det_id) filter (where (det_id + b.image_id) % 3 <> 0) as verified, count(det_id) filter (where (det_id + b.image_id) % 3 = 0) as rejected
- from big_images b left join kp on kp.image_id = b.image_id group by 1""")
+ from big_images b left join kd on kd.image_id = b.image_id group by 1""")
 def counted_objects(t):
     _, totals = PI.count_objects(t.big_images(), two_boxes, says_yes, threshold=0.3)
     return totals.select("image_id", "raw", "verified", "rejected")
 
 
 def _with_gsd(t, field, values):
-    return t.big_images().withColumns({"gsd": F.lit(0.5), field: F.array(*[F.lit(v) for v in values])})
+    return t.big_images().withColumns({"gsd": F.when(F.col("image_id") % 50 > 0, 0.5), field: F.array(*[F.lit(v) for v in values])})
 
 
-_AREAS = _FOUND + """
-, ob as (select fd.image_id, trunc((x2 - x1) * (y2 - y1))::bigint as px from fd join kp on kp.image_id = fd.image_id and kp.det_id = fd.det_id where trunc((x2 - x1) * (y2 - y1)) > 0)
+_AREAS = """
+, ob as (select image_id, case when m then (u2 - u1) * (v2 - v1) else trunc((x2 - x1) * (y2 - y1))::bigint end as px from kd where no = 0)
 select b.image_id, count(px) as objects, coalesce(sum(px), 0)::bigint as pixel_area, round(coalesce(sum(px), 0)::bigint * 0.25::double, 4) as real_area,
- round(coalesce(sum(px), 0)::bigint / any_value(w * h) * 100, 4) as coverage from big_images b left join ob on ob.image_id = b.image_id group by 1"""
+ round(coalesce(sum(px), 0)::bigint / any_value(w * h) * 100, 4) as coverage from big_images b left join (select * from ob where px > 0) o on o.image_id = b.image_id where b.image_id % 50 > 0 group by 1"""
 
 
-@query("measured_areas", "big_images", _AREAS)
+@query("measured_areas", "big_images", _found("tank") + _AREAS)
 def measured_areas(t):
-    _, totals = PI.measure_areas(_with_gsd(t, "keywords", ["tank"]), two_boxes, threshold=0.3)
-    return totals
+    return PI.measure_areas(_with_gsd(t, "keywords", ["tank"]), two_boxes, threshold=0.3)[1]
 
 
-# the stand-in finds the same boxes under every keyword, so later keywords add nothing
-@query("areas_over_keywords", "big_images", _AREAS)
+# the stand-in finds the same objects under every keyword, so later keywords add nothing
+@query("areas_over_keywords", "big_images", _found("tank") + _AREAS)
 def areas_over_keywords(t):
-    _, totals = PI.measure_areas(_with_gsd(t, "keywords", ["tank", "ship", "tank"]), two_boxes, threshold=0.3)
-    return totals
+    return PI.measure_areas(_with_gsd(t, "keywords", ["tank", "ship", "tank"]), two_boxes, threshold=0.3)[1]
+
+
+@query("images_without_resolution", "big_images", "select image_id from big_images where image_id % 50 = 0")
+def images_without_resolution(t):
+    from visiontables.operators.measure import gsd_errors
+
+    return gsd_errors(_with_gsd(t, "keywords", ["tank"]))
+
+
+def accepts(rows: pd.DataFrame) -> pd.Series:
+    return pd.Series([f"<verdict>{'Accept' if v % 4 else 'Reject'}</verdict>" for v in rows["det_id"]], index=rows.index)
 
 
-@query("segmented_documents", "big_images", _FOUND + """
-, k1 as (select fd.* from fd join kp on kp.image_id = fd.image_id and kp.det_id = fd.det_id), k2 as (""" + duck_greedy("k1", "score desc, det_id", _IOU + " >= 0.4") + """),
- s as (select k1.*, b.w from k1 join k2 on k2.image_id = k1.image_id and k2.det_id = k1.det_id join big_images b on b.image_id = k1.image_id where score >= 0.4)
-select image_id, count(*)::integer as n, max(score) as best, list(x2 / w order by score desc, det_id)[1] as first_x2 from s group by 1""")
+@query("segmented_documents", "big_images", _found("tank", "ship") + f"""
+, k2 as ({_greedy("kd", "score desc, det_id", ">= 0.4", "image_id")}),
+ s as (select kd.*, b.w from kd join k2 on k2.image_id = kd.image_id and k2.det_id = kd.det_id join big_images b on b.image_id = kd.image_id where score >= 0.4 and kd.det_id % 4 <> 0)
+select b.image_id, count(det_id)::integer as n, max(score) as best, list(x2 / s.w order by score desc, det_id) filter (where det_id is not null)[1] as first_x2, count(det_id) filter (where m)::integer as masks
+ from big_images b left join s on s.image_id = b.image_id group by 1""")
 def segmented_documents(t):
-    docs = PI.segment(_with_gsd(t, "prompts", ["tank", "ship"]), two_boxes, threshold=0.3, min_score=0.4)
-    return docs.select("image_id", F.size("pred_scores").alias("n"), F.col("pred_scores")[0].alias("best"), F.col("pred_boxes")[0][2].alias("first_x2"))
+    docs = PI.segment(_with_gsd(t, "prompts", ["tank", "ship"]), two_boxes, threshold=0.3, min_score=0.4, verdict=accepts)
+    return docs.select("image_id", F.size("pred_scores").alias("n"), F.get("pred_scores", F.lit(0)).alias("best"), F.get(F.get("pred_boxes", F.lit(0)), F.lit(2)).alias("first_x2"),
+                       F.size(F.filter("pred_masks", lambda m: m.isNotNull())).alias("masks"))
 
 
 def rates(rows: pd.DataFrame) -> str:
@@ -108,9 +167,9 @@ def rates_again(rows: pd.DataFrame) -> str:
 select image_id, row_number() over (partition by image_id order by det_id) as pos,
  case (row_number() over (partition by image_id order by det_id)) % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence from detections""")
 def assessed_confidences(t):
-    from visiontables.operators.select import position_in_group
+    from visiontables.operators.numbering import position_in_order
 
-    rows = position_in_group(t.detections(), ["image_id"], "det_id", 1 << 49, "pos").select("image_id", "pos")
+    rows = position_in_order(t.detections(), ["image_id"], [F.asc("det_id")], "pos").select("image_id", "pos")
     return H.assess_confidence(rows, rates, ["image_id"])
 
 
@@ -119,7 +178,7 @@ def assessed_confidences(t):
  d as (select *, count(*) filter (where pos % 3 <> 0) over (partition by image_id) as doubt from n)
 select image_id, det_id, case when doubt > 10 and pos % 3 <> 0 and pos % 2 = 1 then 'HIGH' when pos % 3 = 0 then 'HIGH' when pos % 3 = 1 then 'MEDIUM' else 'LOW' end as confidence from d""")
 def smart_confidences(t):
-    return H.smart_confidence(t.detections(), rates, rates_again, ["image_id"]).select("image_id", "det_id", "confidence")
+    return H.smart_confidence(t.detections(), rates, rates_again, ["image_id"], limit=10).select("image_id", "det_id", "confidence")
 
 
 @query("retried_keys", "images", """
@@ -208,16 +267,18 @@ def streamed_tracks(t):
     import os
     import uuid
 
-    from visiontables.fixtures import _OBS, _cols
     from visiontables.session import shared_folder
     from visiontables.streaming.lifecycle import track_stream, use_rocksdb
 
     spark = t.spark
     use_rocksdb(spark)
-    raw = t.raw("events")
-    rows = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir).selectExpr(*_cols(_OBS))
     folder = os.path.join(shared_folder(spark), f"streamed-tracks-{uuid.uuid4().hex}")
-    q = (track_stream(rows.withColumn("end_of_video", F.lit(False)), _CONFIG).writeStream.outputMode("update").option("checkpointLocation", folder + "/state")
+    obs = t.track_obs().withColumn("end_of_video", F.lit(False))
+    ends = obs.groupBy("video_id").agg((F.max("frame_idx") + 1).alias("frame_idx")).withColumn("end_of_video", F.lit(True))
+    obs.write.parquet(folder + "/in/part=0")
+    obs.limit(0).unionByName(ends, allowMissingColumns=True).write.parquet(folder + "/in/part=1")
+    rows = spark.readStream.schema(obs.schema).option("recursiveFileLookup", True).parquet(folder + "/in")
+    q = (track_stream(rows, _CONFIG).writeStream.outputMode("update").option("checkpointLocation", folder + "/state")
          .trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start())
     q.awaitTermination()
     return spark.read.parquet(folder + "/out").drop("batch")

@@ -90,6 +90,7 @@ def parse_scales(text: Column) -> Column:
     return F.array_compact(F.transform(F.split(text, ","), lambda s: F.trim(s).try_cast("double")))
 
 
+# Fixed pattern: a rated mask.
 _CONFIDENCE = r"(?i)(?:Mask\s*)?(\d+)\s*[:\-]\s*(HIGH|MEDIUM|LOW)"
 
 
@@ -109,10 +110,12 @@ def verdict(text: Column) -> Column:
     return F.when(yes & ~no, "Accept").when(no & ~yes, "Reject")
 
 
+# Fixed patterns: calls, prompt and id lists, and arguments of replies.
 _JSON_CALL = r'\{[^{}]*"name"\s*:\s*"([^"]+)"[^{}]*"arguments"\s*:\s*(\{[^{}]*\})[^{}]*\}'
 _PROMPT_LISTS = (r'"text_prompts"\s*:\s*(\[[^\]]+\])', r"'text_prompts'\s*:\s*(\[[^\]]+\])", r"text_prompts\s*=\s*(\[[^\]]+\])")
 _ONE_PROMPT = (r'"text_prompt"\s*:\s*"([^"]+)"', r"'text_prompt'\s*:\s*'([^']+)'", r'text_prompt\s*=\s*"([^"]+)"', r"text_prompt\s*=\s*'([^']+)'")
 _ID_LISTS = (r'"final_answer_masks"\s*:\s*\[([^\]]+)\]', r"select_masks_and_return[^\[]*\[([^\]]+)\]")
+_QUOTED = r"""\"[^\"]+\"|'[^']+'"""
 _KEYWORD_ARG = r"""(\w+)\s*=\s*("[^"]*"|'[^']*'|\[[^\]]*\]|\{[^}]*\}|[^,\s\]]+)"""
 
 
@@ -125,12 +128,22 @@ def _one_call(name: str, arguments: Column) -> Column:
     return F.when(arguments.isNotNull(), F.array(F.struct(F.lit(name).alias("name"), arguments.alias("arguments"))))
 
 
+def _json_text(v: Column) -> Column:
+    """A string as JSON."""
+    inner = F.to_json(F.array(v))
+    return F.substring(inner, F.lit(2), F.length(inner) - 2)
+
+
+def _quoted_list(v: Column) -> Column:
+    """A list as JSON: kept when it is JSON, else the quoted strings in it."""
+    strings = F.transform(F.regexp_extract_all(v, F.lit(_QUOTED), F.lit(0)), lambda q: _json_text(F.substring(q, F.lit(2), F.length(q) - 2)))
+    return F.coalesce(F.when(F.try_parse_json(v).isNotNull(), v), F.concat(F.lit("["), F.array_join(strings, ", "), F.lit("]")))
+
+
 def _json_value(v: Column) -> Column:
-    """A keyword value as JSON text: kept when it is JSON, else a string."""
-    bare = F.regexp_replace(v, r"^'(.*)'$", "$1")
-    lists = F.when(v.startswith("["), F.translate(v, "'", '"'))
-    return F.coalesce(F.when(F.try_parse_json(v).isNotNull(), v), F.when(F.try_parse_json(lists).isNotNull(), lists),
-                      F.concat(F.lit('"'), F.regexp_replace(bare, r'(["\\])', r"\\$1"), F.lit('"')))
+    """A keyword value as JSON: what its quotes hold when that is JSON (a number, say), else a string."""
+    bare = F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.when(bare.startswith("["), _quoted_list(bare)).otherwise(F.coalesce(F.when(F.try_parse_json(bare).isNotNull(), bare), _json_text(bare)))
 
 
 def extract_tool_calls(text: Column) -> Column:
@@ -158,9 +171,8 @@ def extract_tool_calls(text: Column) -> Column:
     found = lambda patterns: F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
     has = text.contains
     listed = found(_PROMPT_LISTS)
-    listed = F.when(F.try_parse_json(listed).isNotNull(), listed).otherwise(F.translate(listed, "'", '"'))
-    batch = F.when(has("segment_phrase_batch"), F.concat(F.lit('{"text_prompts": '), listed, F.lit("}")))
-    single = F.when(has("segment_phrase") & ~has("segment_phrase_batch"), F.concat(F.lit('{"text_prompts": ["'), found(_ONE_PROMPT), F.lit('"]}')))
+    batch = F.when(has("segment_phrase_batch"), F.concat(F.lit('{"text_prompts": '), _quoted_list(listed), F.lit("}")))
+    single = F.when(has("segment_phrase") & ~has("segment_phrase_batch"), F.concat(F.lit('{"text_prompts": ['), _json_text(found(_ONE_PROMPT)), F.lit("]}")))
     ids = F.coalesce(*[F.when(F.try_parse_json(F.concat(F.lit("["), m, F.lit("]"))).isNotNull(), m)
                        for m in (F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in _ID_LISTS)])
     chosen = F.when(has("select_masks_and_return"), F.concat(F.lit('{"final_answer_masks": ['), ids, F.lit("]}")))

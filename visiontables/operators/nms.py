@@ -328,9 +328,22 @@ def _cluster_rounds(pts: DataFrame, keys: list[str], ranks: list[str], close, di
     return pts.join(named, [*keys, "px", "py"]).select(*keys, "_row", "leader")
 
 
-def cluster_extent(clustered: DataFrame, keys: list[str]) -> DataFrame:
-    """Bounding box and size of each cluster."""
-    return clustered.groupBy(*keys, "leader").agg(
+def cluster_extent(clustered: DataFrame, keys: list[str], images: DataFrame | None = None, image: str = "image_id") -> DataFrame:
+    """Bounding box and size of each cluster.
+
+    With ``images`` (sizes ``w, h``) each box is put right first: relative ones
+    are scaled, inverted corners swapped, all kept inside the image.
+    """
+    c = clustered
+    if images is not None:
+        c = c.join(images.select(image, F.col("w").alias("_w"), F.col("h").alias("_h")), image)
+        relative = F.greatest("x1", "y1", "x2", "y2").between(0, 1) & F.least("x1", "y1", "x2", "y2").between(0, 1)
+        for lo, hi, size in (("x1", "x2", "_w"), ("y1", "y2", "_h")):
+            a, b = (F.when(relative, F.col(k) * F.col(size)).otherwise(F.col(k)) for k in (lo, hi))
+            small, large = F.least(a, b), F.greatest(a, b)
+            c = c.withColumns({"_" + lo: F.greatest(F.lit(0.0), F.least(small, F.col(size) - 1)), "_" + hi: F.greatest(F.lit(0.0), F.least(large, F.col(size)))})
+        c = c.drop("x1", "y1", "x2", "y2", "_w", "_h").withColumnsRenamed({"_" + k: k for k in ("x1", "y1", "x2", "y2")})
+    return c.groupBy(*keys, "leader").agg(
         F.count(F.lit(1)).alias("members"), F.min("x1").alias("x1"), F.min("y1").alias("y1"),
         F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 

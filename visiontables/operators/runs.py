@@ -91,23 +91,25 @@ def decode_coco_counts(df: DataFrame, text: str = "counts", name: str = "counts"
     return df.withColumn(name, decode(F.col(text)))
 
 
+def encode_text(values) -> str:
+    """Run lengths as one compressed mask text."""
+    chars = []
+    for i, v in enumerate(values):
+        v = int(v) - (int(values[i - 2]) if i > 2 else 0)
+        while True:
+            bits, v = v & 31, v >> 5
+            ended = v == (-1 if bits & 16 else 0)
+            chars.append(chr(48 + (bits if ended else bits | 32)))
+            if ended:
+                break
+    return "".join(chars)
+
+
 def encode_coco_counts(df: DataFrame, counts: str = "counts", name: str = "text") -> DataFrame:
     """Run lengths to compressed mask texts, in Arrow batches."""
-    def one(values) -> str:
-        chars = []
-        for i, v in enumerate(values):
-            v = int(v) - (int(values[i - 2]) if i > 2 else 0)
-            while True:
-                bits, v = v & 31, v >> 5
-                ended = v == (-1 if bits & 16 else 0)
-                chars.append(chr(48 + (bits if ended else bits | 32)))
-                if ended:
-                    break
-        return "".join(chars)
-
     @F.pandas_udf(T.StringType())
     def encode(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else one(v))
+        return s.map(lambda v: None if v is None else encode_text(v))
 
     return df.withColumn(name, encode(F.col(counts)))
 
@@ -129,9 +131,13 @@ def place_masks(runs: DataFrame, dx: Column, dy: Column, w: Column, h: Column) -
     return moved.where((F.col("x") >= 0) & (F.col("x") < w) & (F.col("ye") > F.col("ys")))
 
 
-def resize_runs(runs: DataFrame, src_w: int, src_h: int, dst_w: int, dst_h: int) -> DataFrame:
-    """Nearest neighbour: target pixel t shows source pixel floor(t * src / dst)."""
-    up = lambda c, dst, src: F.ceil(c * dst / float(src)).cast("bigint")
+def resize_runs(runs: DataFrame, src_w: int | Column, src_h: int | Column, dst_w: int | Column, dst_h: int | Column) -> DataFrame:
+    """Nearest neighbour: target pixel t shows source pixel floor(t * src / dst).
+
+    Sizes are numbers, or columns where masks differ in size.
+    """
+    size = lambda v: v.cast("double") if isinstance(v, Column) else F.lit(float(v))
+    up = lambda c, dst, src: F.ceil(c * dst / size(src)).cast("bigint")
     r = runs.withColumns({"ys": up(F.col("ys"), dst_h, src_h), "ye": up(F.col("ye"), dst_h, src_h),
                           "_x0": up(F.col("x"), dst_w, src_w), "_x1": up(F.col("x") + 1, dst_w, src_w)})
     r = r.where((F.col("ye") > F.col("ys")) & (F.col("_x1") > F.col("_x0")))

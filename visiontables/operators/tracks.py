@@ -337,15 +337,16 @@ def keep_alive(history: DataFrame, start: int = 30, cap: int = 30, floor: int =
     return steps.join(starts, [*OBJ, "_block"]).select(*OBJ, F.inline(run["out"]))
 
 
-def processing_order(videos: DataFrame, most: int, reverse: bool) -> DataFrame:
+def processing_order(videos: DataFrame, most: int | None, reverse: bool) -> DataFrame:
     """Frames of a pass: ``start`` to ``start + most``, both included and kept
-    inside the video; backwards from the frame before ``start``."""
+    inside the video; backwards from the frame before ``start``. Without
+    ``most`` a pass goes to the end of the video."""
     v = videos.where(F.col("start").isNotNull())
     if reverse:
         v = v.where(F.col("start") > 0)
-        lo, hi = F.greatest(F.col("start") - most, F.lit(0)), F.col("start") - 1
+        lo, hi = F.lit(0).cast("bigint") if most is None else F.greatest(F.col("start") - most, F.lit(0)), F.col("start") - 1
     else:
-        lo, hi = F.col("start"), F.least(F.col("start") + most, F.col("n") - 1)
+        lo, hi = F.col("start"), F.col("n") - 1 if most is None else F.least(F.col("start") + most, F.col("n") - 1)
     v = v.select("video_id", F.lit(not reverse).alias("forward"), "start", F.explode(F.sequence(lo, hi)).alias("frame_idx"))
     step = F.col("start") - 1 - F.col("frame_idx") if reverse else F.col("frame_idx") - F.col("start")
     return v.select("video_id", "forward", "frame_idx", step.alias("step"))

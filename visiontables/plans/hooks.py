@@ -12,29 +12,33 @@ from pyspark.sql.types import StringType
 from visiontables.functions.text import confidence_lines
 from visiontables.operators import nms as N
 from visiontables.operators.filters import accept_yes_no
-from visiontables.operators.select import position_in_group
+from visiontables.operators.numbering import position_in_order
 from visiontables.operators.tracks import merge_confidence
 from visiontables.session import checkpoint, is_empty, spread
 
-DETECTED = "image_id bigint, scale double, tile_id bigint, local_id bigint, x1 double, y1 double, x2 double, y2 double, score double"
+DETECTED = "image_id bigint, scale double, tile_id bigint, local_id bigint, x1 double, y1 double, x2 double, y2 double, score double, counts string"
 
 
 def detect(tiles: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], batch: int = 16, extra: str = "",
-           tasks: int | None = None) -> DataFrame:
+           tasks: int | None = None, rows_per_task: int = 256) -> DataFrame:
     """Run a detector over tiles, ``batch`` of them per call.
 
-    Tile rows are small and the model is slow, so they are dealt out evenly over
-    ``tasks`` (by default the session's parallelism) before it runs.
+    Tile rows are small and the model is slow, so they are dealt out evenly
+    before it runs: over ``tasks``, or else ``rows_per_task`` to a task.
 
     The model gets tile rows and returns rows of ``DETECTED`` (and the columns
     ``extra`` declares) in tile pixels; ``local_id`` counts within a tile.
+    ``counts`` is the compressed mask text over the tile, null (or no column at
+    all) where there is no mask.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), batch):
-                yield model(pdf.iloc[lo:lo + batch])
+                out = model(pdf.iloc[lo:lo + batch])
+                yield out if "counts" in out.columns else out.assign(counts=None)
 
-    tasks = tasks or tiles.sparkSession.sparkContext.defaultParallelism
+    if tasks is None:
+        tasks = max(tiles.sparkSession.sparkContext.defaultParallelism, -(-tiles.count() // rows_per_task))
     return tiles.repartition(tasks).mapInPandas(run, DETECTED + (", " + extra if extra else ""))
 
 
@@ -79,30 +83,28 @@ def assess_confidence(rows: DataFrame, model: Callable[[pd.DataFrame], str], key
 
 
 def smart_confidence(rows: DataFrame, first: Callable[[pd.DataFrame], str], again: Callable[[pd.DataFrame], str], keys: list[str],
-                     row: str = "det_id", limit: int = 10, group: int = 10, cluster_rows: int = 64) -> DataFrame:
+                     limit: int, row: str = "det_id", group: int = 10) -> DataFrame:
     """Assess all rows, then look again at the doubtful ones, cluster by cluster.
 
-    Only keys with more than ``limit`` doubtful rows are looked at again; a
-    cluster goes to the model in calls of at most ``cluster_rows`` rows. The
-    later word wins; rows without any word are LOW.
+    Doubtful is any row not rated HIGH, rated or not. Only keys with more than
+    ``limit`` of them are looked at again (0: all); the model sees a cluster in
+    one call. The later word wins; rows without any word are LOW.
     """
-    numbered = checkpoint(position_in_group(rows, keys, row, 1 << 49, "pos"))
+    numbered = checkpoint(position_in_order(rows, keys, [F.asc(row)], "pos"))
     one = checkpoint(assess_confidence(numbered, first, keys, group=group))
-    doubt = numbered.join(one.where("confidence <> 'HIGH'").select(*keys, "pos"), [*keys, "pos"], "left_semi")
+    doubt = numbered.join(one.where("confidence = 'HIGH'").select(*keys, "pos"), [*keys, "pos"], "left_anti")
     many = doubt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
     doubt = checkpoint(doubt.join(many, keys, "left_semi"))
     two = one.limit(0)
     if not is_empty(doubt):
         clusters = N.leader_cluster(doubt, keys, row=row)
-        within = position_in_group(clusters, [*keys, "leader"], row, 1 << 49, "_at")
-        within = within.withColumn("part", F.floor((F.col("_at") - 1) / cluster_rows))
-        schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", leader bigint, part bigint, text string"
+        schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", leader bigint, text string"
 
         def call(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pdf.iloc[[0]][[*keys, "leader", "part"]].reset_index(drop=True).assign(text=[again(pdf.sort_values("pos"))])
+            return pdf.iloc[[0]][[*keys, "leader"]].reset_index(drop=True).assign(text=[again(pdf.sort_values("pos"))])
 
-        replies = spread(within, *keys, "leader", "part").groupBy(*keys, "leader", "part").applyInPandas(lambda pdf: call(pdf), schema)
-        said = confidence_lines(replies, [*keys, "leader", "part"]).drop("leader", "part")
+        replies = spread(clusters, *keys, "leader").groupBy(*keys, "leader").applyInPandas(lambda pdf: call(pdf), schema)
+        said = confidence_lines(replies, [*keys, "leader"]).drop("leader")
         two = said.withColumnRenamed("mask_no", "pos").join(doubt.select(*keys, "pos"), [*keys, "pos"], "left_semi")
     return merge_confidence(numbered, one, two, [*keys, "pos"])
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visiontables.functions import boxes as B
+from visiontables.functions import text as X
 from visiontables.operators import filters as FL
 from visiontables.operators import measure as M
 from visiontables.operators import nms as N
+from visiontables.operators import runs as MR
 from visiontables.operators import tiles as T
 from visiontables.plans import hooks as H
 from visiontables.session import checkpoint
@@ -19,60 +21,114 @@ from visiontables.sources import results as R
 TILE, OVERLAP, SCALES, IOU = 512, 0.15, (1.0, 0.5), 0.5
 
 
+def hashed_id(*parts) -> Column:
+    """An id of 60 bits from what identifies a detection within its image: parts of any range, no packing."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def infer(images: DataFrame, detector: Callable, threshold: float = 0.5, tile: int = TILE, overlap: float = OVERLAP,
-          scales: tuple = SCALES, iou: float = IOU, keep: tuple = ()) -> DataFrame:
+          scales: tuple = SCALES, iou: float = IOU, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """Detections of tiled images in image pixels, de-duplicated across tiles
-    and scales. ``keep`` names columns of ``images`` (such as the prompt) the
-    detector sees and which separate de-duplication.
+    and scales, and the runs ``(image_id, det_id, x, ys, ye)`` of their masks.
+
+    ``keep`` names columns of ``images`` (such as the prompt) the detector sees
+    and which separate de-duplication. Masks compete by pixels; where one of
+    two detections has none, their boxes do.
     """
     tiles = T.tile_grid(T.pyramid(images, list(scales)), tile, overlap, "sw", "sh")
     types = dict(images.dtypes)
     extra = ", ".join(f"{k} {types[k]}" for k in keep)
     found = H.detect(tiles.select("image_id", "scale", "tile_id", "tx0", "ty0", "tx1", "ty1", *keep), detector, extra=extra)
-    placed = T.tile_to_image(found, tiles.select("image_id", "scale", "tile_id", "tx0", "ty0", "w", "h", *keep), ["image_id", "scale", "tile_id", *keep])
+    key = ["image_id", "scale", "tile_id", *keep]
     level = F.array_position(F.array(*[F.lit(float(s)) for s in sorted(scales, reverse=True)]), F.col("scale"))
-    placed = placed.withColumn("det_id", level * (1 << 44) + F.col("tile_id") * (1 << 20) + F.col("local_id")).drop("local_id", "tile_id")
+    found = FL.by_confidence(found, threshold).withColumn("det_id", hashed_id(level, "tile_id", "local_id", *keep)).drop("local_id")
     # written once: the steps below read it more than once, and the model must not run again
-    good = checkpoint(FL.drop_degenerate(FL.by_confidence(placed, threshold)))
-    return N.nms(good, ["image_id", *keep], iou, order=[("score", "desc"), ("scale", "asc")])
+    found = checkpoint(found)
+    placed = FL.drop_degenerate(T.tile_to_image(found.drop("counts"), tiles.select(*key, "tx0", "ty0", "w", "h"), key)).drop("tile_id")
+    runs = checkpoint(_image_runs(found, tiles, key))
+    kept = checkpoint(N.mask_nms(checkpoint(placed), runs, ["image_id", *keep], iou, order=[("score", "desc"), ("scale", "asc")]))
+    return kept, _runs_of(runs, kept)
+
+
+def _image_runs(found: DataFrame, tiles: DataFrame, key: list[str]) -> DataFrame:
+    """Runs of tile masks in pixels of the whole image."""
+    at = ["tx0", "ty0", "tx1", "ty1", "sw", "sh", "w", "h"]
+    masks = found.where(F.col("counts").isNotNull()).select(*key, "det_id", "counts").join(tiles.select(*key, *at), key)
+    masks = MR.decode_coco_counts(masks, "counts", "lengths")
+    runs = MR.decode_runs(masks, [*key, "det_id", *at], F.col("ty1") - F.col("ty0"), counts="lengths")
+    runs = MR.place_masks(runs, F.col("tx0"), F.col("ty0"), F.col("sw"), F.col("sh"))
+    runs = MR.resize_runs(runs, F.col("sw"), F.col("sh"), F.col("w"), F.col("h"))
+    return runs.select("image_id", *key[3:], "det_id", "x", "ys", "ye")
+
+
+def _runs_of(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    ids = rows.select("image_id", "det_id")
+    return runs.join(ids, ["image_id", "det_id"], "left_semi").select("image_id", "det_id", "x", "ys", "ye")
 
 
-def count_objects(images: DataFrame, detector: Callable, verifier: Callable, **options) -> tuple[DataFrame, DataFrame]:
-    """Verified detections, and raw, verified and rejected rows per image."""
-    found = infer(images, detector, **options).join(images.select("image_id", "w", "h"), "image_id")
-    rows = H.verify(B.crop_window(found, "verify"), verifier, ["image_id", "det_id", "cx1", "cy1", "cx2", "cy2"])
-    rows = checkpoint(rows.drop("w", "h"))
+def count_objects(images: DataFrame, detector: Callable, verifier: Callable, rephrase: Callable | None = None, retries: int = 2,
+                  prompt: str = "prompt", **options) -> tuple[DataFrame, DataFrame]:
+    """Verified detections, and raw, verified and rejected rows per image.
+
+    With ``rephrase`` (see ``retry_unresolved``) images without any verified
+    detection go round again, at most ``retries`` times, under a new
+    ``prompt``, which the detector sees; rows then carry their ``attempt``.
+    """
+    def attempt(todo: DataFrame, n: int) -> DataFrame:
+        keep = (prompt,) if rephrase else ()
+        found = infer(todo, detector, keep=keep, **options)[0].join(todo.select("image_id", "w", "h"), "image_id")
+        return H.verify(B.crop_window(found, "verify"), verifier, ["image_id", "det_id", "cx1", "cy1", "cx2", "cy2"]).drop("w", "h")
+
+    rows = H.retry_unresolved(images, attempt, rephrase, ["image_id"], retries, prompt) if rephrase else checkpoint(attempt(images, 0))
     totals = rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("raw"), F.count_if("verified").alias("verified"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     totals = images.select("image_id").join(totals, "image_id", "left").select("image_id", zero("raw"), zero("verified"))
     return rows.where("verified"), totals.withColumn("rejected", F.col("raw") - F.col("verified"))
 
 
-def measure_areas(images: DataFrame, detector: Callable, keywords: str = "keywords", **options) -> tuple[DataFrame, DataFrame]:
-    """Areas per object and per image over several keywords: an object found
-    under an earlier keyword is not counted again."""
+def measure_areas(images: DataFrame, detector: Callable, keywords: str = "keywords", verifier: Callable | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Areas per object and per image over several keywords, and the images
+    whose ground resolution is not usable.
+
+    An object found under an earlier keyword is not counted again. The area is
+    the mask's, or the box's where there is no mask; with ``verifier`` only
+    accepted objects count.
+    """
     asked = images.select("*", F.posexplode(keywords).alias("keyword_no", "keyword")).drop(keywords)
-    found = infer(asked, detector, keep=("keyword_no", "keyword"), **options)
-    # the same tile box may turn up under several keywords: ids must tell them apart
-    found = found.withColumn("det_id", F.col("det_id") + F.col("keyword_no").cast("bigint") * (1 << 50))
-    once = N.nms(found, ["image_id"], 0.5, order=[("keyword_no", "asc")], strict=True)
-    empty = once.select("image_id", "det_id", F.lit(None).cast("bigint").alias("area")).limit(0)
-    objects = M.measure_area(once, empty, images)
-    return objects, M.area_totals(objects, images)
+    found, runs = infer(asked, detector, keep=("keyword_no", "keyword"), **options)
+    runs = checkpoint(runs)
+    once = N.mask_nms(found, runs, ["image_id"], 0.5, order=[("keyword_no", "asc")], strict=True)
+    if verifier is not None:
+        sized = B.crop_window(once.join(images.select("image_id", "w", "h"), "image_id"), "verify")
+        once = H.verify(sized, verifier, ["image_id", "det_id", "cx1", "cy1", "cx2", "cy2"]).where("verified").select(*found.columns)
+    objects = M.measure_area(once, M.mask_area(runs, ["image_id", "det_id"]), images)
+    return objects, M.area_totals(objects, images), M.gsd_errors(images)
+
 
+def segment(images: DataFrame, detector: Callable, prompts: str = "prompts", min_score: float = 0.0, wanted: DataFrame | None = None,
+            verdict: Callable | None = None, **options) -> DataFrame:
+    """One result document per image over all its prompts, with masks.
 
-def segment(images: DataFrame, detector: Callable, prompts: str = "prompts", min_score: float = 0.0, wanted: DataFrame | None = None, **options) -> DataFrame:
-    """One result document per image over all its prompts."""
+    ``verdict`` replies on each detection; those without an Accept go, and an
+    image left without any has empty lists.
+    """
     asked = images.select("*", F.posexplode(prompts).alias("prompt_no", "prompt")).drop(prompts)
-    found = infer(asked, detector, keep=("prompt_no", "prompt"), **options)
-    rows = N.nms(found.withColumn("det_id", F.col("det_id") + F.col("prompt_no").cast("bigint") * (1 << 50)), ["image_id"], 0.4)
-    rows = FL.by_confidence(rows, min_score)
+    found, runs = infer(asked, detector, keep=("prompt_no", "prompt"), **options)
+    runs = checkpoint(runs)
+    rows = FL.by_confidence(N.mask_nms(found, runs, ["image_id"], 0.4), min_score)
     if wanted is not None:
         rows = FL.select_by_index(rows, wanted, ["image_id", "det_id"])
-    return infer_documents(rows, images)
+    if verdict is not None:
+        replies = rows.select("image_id", "det_id", X.verdict(H.ask(verdict, "image_id", "det_id", "prompt", "x1", "y1", "x2", "y2", "score")).alias("verdict"))
+        rows = FL.accept_verdicts(rows, replies, ["image_id", "det_id"])
+    return infer_documents(rows, images, runs)
 
 
-def infer_documents(rows: DataFrame, images: DataFrame) -> DataFrame:
-    """Documents with boxes relative to the image."""
-    rel = B.normalize_boxes(rows.join(images.select("image_id", "w", "h"), "image_id")).drop("w", "h")
-    return R.to_documents(rel, images)
+def infer_documents(rows: DataFrame, images: DataFrame, runs: DataFrame) -> DataFrame:
+    """Documents with boxes relative to the image, and masks as compressed texts."""
+    rel = B.normalize_boxes(rows.join(images.select("image_id", "w", "h"), "image_id"))
+    sized = _runs_of(runs, rows).join(images.select("image_id", "w", "h"), "image_id")
+    counts = MR.encode_counts(sized, ["image_id", "det_id", "w", "h"], F.col("h"), F.col("w"))
+    text = MR.encode_coco_counts(counts, "counts", "text")
+    mask = text.select("image_id", "det_id", F.struct(F.col("text").alias("counts"), F.array("h", "w").alias("size")).alias("mask"))
+    return R.to_documents(rel.drop("w", "h").join(mask, ["image_id", "det_id"], "left"), images)

@@ -4,8 +4,8 @@
 the live objects, opens and drops objects, keeps their counters, and holds each
 frame back for ``delay`` frames so that objects dropped meanwhile never show.
 Its state is the live objects and the frames held back, whatever the length of
-the video. The stream keeps that state per video in the state store; the batch
-form runs the same steps over frames sorted within each partition, reading row
+the video. The stream keeps that state per video in the state store
+and drops it when the video ends; the batch form runs the same steps over frames sorted within each partition, reading row
 by row without gathering a video.
 
 A live object's mask is the box of its last matched detection.
@@ -14,8 +14,9 @@ A live object's mask is the box of its last matched detection.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 OUTPUT = ("video_id bigint, frame_idx bigint, obj_id bigint, x1 double, y1 double, x2 double, y2 double,"
           " prob double, tracker_prob double, confirmed boolean")
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
-REMOVED_OCCLUSION = 100_000
+# A removed object counts as hidden after all others.
+REMOVED_OCCLUSION = math.inf
 NEVER = -1
 
 
@@ -45,11 +47,13 @@ class TrackerConfig:
     alive_floor: int = -1
     suppress_only_when_new: bool = True
     overlap: float = 0.7
-    most_objects: int = 10_000
+    most_objects: int | None = None
     boundary: float | None = None
     width: float = 1.0
     height: float = 1.0
     confirm: int | None = None
+    # a pass that goes on before another one's first frame: objects of its later frames get negative ids
+    continues: bool = False
 
 
 @dataclass
@@ -100,8 +104,8 @@ class VideoTracker:
     # ---- input --------------------------------------------------------------------------
     def feed(self, rows: list[tuple]) -> list[tuple]:
         """Rows (frame, det_id, x1, y1, x2, y2, score), det_id NULL for an empty
-        frame. A frame runs once a later one shows up; a row of a frame that has
-        run is late and only counted."""
+        frame. Frames are those with a row. A frame runs once a later one shows
+        up; a row of a frame that has run is late and only counted."""
         out: list[tuple] = []
         self.pending += [list(r) for r in rows if r[0] > self.frame]
         self.late += sum(r[0] <= self.frame for r in rows)
@@ -114,9 +118,8 @@ class VideoTracker:
             if r[0] < newest:
                 ready.setdefault(r[0], []).append(r)
         self.pending = [r for r in self.pending if r[0] == newest]
-        start = min(ready) if self.frame < 0 and ready else self.frame + 1
-        for f in range(start, newest if ready or self.frame >= 0 else start):
-            out += self.step(f, [r for r in ready.get(f, []) if r[1] is not None])
+        for f in sorted(ready):
+            out += self.step(f, [r for r in ready[f] if r[1] is not None])
         return out
 
     def finish(self) -> list[tuple]:
@@ -125,10 +128,7 @@ class VideoTracker:
         if self.pending:
             rows = [r for r in self.pending if r[1] is not None]
             frame, self.pending = self.pending[0][0], []
-            if rows:
-                for f in range(self.frame + 1 if self.frame >= 0 else frame, frame):
-                    out += self.step(f, [])
-                out += self.step(frame, rows)
+            out += self.step(frame, rows)
         last = self.frame
         for f, rows, hidden in self.held:
             out += self.show(f, rows, hidden, last)
@@ -155,9 +155,10 @@ class VideoTracker:
             if u:
                 t.misses += 1
                 t.alive = max(c.alive_floor, t.alive - 1)
+        sign = -1 if c.continues and self.frame >= 0 else 1
         for d in opened:
             self.top += 1
-            self.tracks.append(Track(self.top, boxes[d].tolist(), float(scores[d]), f, float(scores[d]), alive=c.alive_start))
+            self.tracks.append(Track(sign * self.top, boxes[d].tolist(), float(scores[d]), f, float(scores[d]), alive=c.alive_start))
         removed = {t.obj_id for t in live if t.misses >= c.unmatched and t.first > f - c.delay}
         faded = {t.obj_id for t in live if t.misses and t.alive <= 0 and t.obj_id not in removed} if not c.suppress_only_when_new else set()
         removed |= self.duplicates(f, live, hit, removed)
@@ -204,8 +205,7 @@ class VideoTracker:
             y = (boxes[new, 1] + boxes[new, 3]) / 2 / c.height
             m = c.boundary
             new = new[(x > m) & (x < 1 - m) & (y > m) & (y < 1 - m)]
-        room = max(c.most_objects - used, 0)
-        if len(new) > room:
+        if c.most_objects is not None and len(new) > (room := max(c.most_objects - used, 0)):
             new = np.sort(new[np.argsort(-scores[new], kind="stable")[:room]])
         return new.tolist()
 
@@ -230,8 +230,8 @@ class VideoTracker:
         close = iou_matrix(tboxes, tboxes) >= self.config.overlap
         np.fill_diagonal(close, False)
         hide = (close & (seen[:, None] > seen[None, :]) & (seen[None, :] > NEVER)).any(axis=1)
-        for t, out, old in zip(live, hide | ~filled, seen):
-            t.occluded = f if out else int(old)
+        for t, out in zip(live, hide | ~filled):
+            t.occluded = f if out else t.occluded
 
 
 # ---- Spark ---------------------------------------------------------------------------------------
@@ -281,7 +281,9 @@ class _Lifecycle(StatefulProcessor):
         out = tracker.feed(fed)
         if ended:
             out += tracker.finish()
-        self.state.update((tracker.dump(),))
+            self.state.clear()
+        else:
+            self.state.update((tracker.dump(),))
         yield _frame_out(key[0], out)
 
     def close(self) -> None:
@@ -311,12 +313,14 @@ def use_rocksdb(spark) -> None:
 def bidirectional(dets: DataFrame, starts: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
     """A forward pass from each video's start and a backward pass before it.
 
-    The passes cover different frames, so the result is their union. The
-    backward pass runs over mirrored frame numbers.
+    The backward pass runs over mirrored frame numbers. It takes the start
+    frame too, where it opens the same objects with the same ids; objects that
+    only it meets get negative ids. Each frame is shown by one pass, so the
+    union has one set of ids.
     """
     j = dets.join(starts.select("video_id", "start"), "video_id")
     ahead = track_batch(j.where("frame_idx >= start"), config)
-    mirrored = j.where("frame_idx < start").withColumn("frame_idx", F.col("start") - 1 - F.col("frame_idx"))
-    back = track_batch(mirrored, config).join(starts.select("video_id", "start"), "video_id")
-    back = back.withColumn("frame_idx", F.col("start") - 1 - F.col("frame_idx")).drop("start")
+    mirrored = j.where("frame_idx <= start").withColumn("frame_idx", F.col("start") - F.col("frame_idx"))
+    back = track_batch(mirrored, replace(config, continues=True)).where("frame_idx > 0").join(starts.select("video_id", "start"), "video_id")
+    back = back.withColumn("frame_idx", F.col("start") - F.col("frame_idx")).drop("start")
     return ahead.withColumn("forward", F.lit(True)).unionByName(back.withColumn("forward", F.lit(False)))
