@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, quality_model, repeated_spans, secret_scan, token_files, toxicity_model
+from visiontables.llm.oracles import ORACLES as _SQL
 from visiontables.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(_SQL)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
