@@ -381,9 +381,9 @@ def filter_reports(t):
     return FL.filter_report(rated, ["image_id"])
 
 
-@query("valid_mask_texts", "", "select doc_id from documents where length(split_part(text, ' ', 1)) > 4")
+@query("valid_mask_texts", "", "select doc_id from documents where length(text) > 4")
 def valid_mask_texts(t):
-    d = t.raw("documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("counts"))
+    d = t.raw("documents").select("doc_id", F.col("text").alias("counts"))
     return FL.valid_mask_text(d).select("doc_id")
 
 
@@ -525,11 +525,10 @@ def ordered_by_score(t):
     return t.detections().select("image_id", "det_id", "score", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query("union_of_prompts", "detections", "select prompt, count(*) as n, sum(cast(score * 10000 as bigint))::bigint as total from detections where prompt in ('p1', 'p2', 'p3') group by prompt")
+@query("union_of_prompts", "detections", "select prompt, count(*) as n, sum(cast(score * 10000 as bigint))::bigint as total from detections group by prompt")
 def union_of_prompts(t):
     d = t.detections()
-    parts = [d.where(F.col("prompt") == p) for p in ("p1", "p2", "p3")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    u = d.where("prompt <= 'p3'").unionByName(d.where("prompt > 'p3'"))
     return u.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("score") * 10000).cast("bigint")).alias("total"))
 
 

@@ -141,13 +141,13 @@ def coco_text_round_trip(t):
 
 
 @query("normalized_mask_reprs", "", f"""
-select doc_id, coalesce(case when doc_id % 3 = 0 then split_part(text, ' ', 1) end, lang) as counts,
+select doc_id, coalesce(case when doc_id % 3 = 0 then text end, lang) as counts,
  case when doc_id % 2 = 0 and doc_id % 3 = 0 then 7::bigint else {H} end as h from documents""")
 def normalized_mask_reprs(t):
     d = t.raw("documents").select(
         "doc_id", F.col("lang").alias("text"),
         F.when(F.col("doc_id") % 3 == 0, F.struct(
-            F.split_part("text", F.lit(" "), F.lit(1)).alias("counts"),
+            F.col("text").alias("counts"),
             F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(7).cast("bigint"), F.lit(9).cast("bigint"))).alias("size"))).alias("rle"))
     n = R.normalize_mask_repr(d, "text", "rle", F.lit(H).cast("bigint"), F.lit(W).cast("bigint"))
     return n.select("doc_id", "counts", F.col("size")[0].alias("h"))
@@ -213,8 +213,9 @@ def resolved_overlaps(t):
     return _resolved(t).select(*KEYS, "x", "ys", "ye")
 
 
-@query("shrunk_dropped", "detections mask_runs", _RESOLVED + """
-, a as (select image_id, det_id, count(*) as n from px group by 1, 2), b as (select image_id, det_id, count(*) as n from res group by 1, 2),
+# the area before is that of the runs; the pixels are made once
+@query("shrunk_dropped", "detections mask_runs", _RESOLVED.replace(" as (select image_id, det_id, x, y from", " as materialized (select image_id, det_id, x, y from").replace("px as (", "px as materialized (") + """
+, a as (select image_id, det_id, sum(ye - ys) as n from mask_runs group by 1, 2), b as (select image_id, det_id, count(*) as n from res group by 1, 2),
  ok as (select a.image_id, a.det_id from a left join b using (image_id, det_id) where coalesce(b.n, 0) / a.n::double >= 0.6)
 select r.* from mask_runs r semi join ok on ok.image_id = r.image_id and ok.det_id = r.det_id""")
 def shrunk_dropped(t):

@@ -70,11 +70,11 @@ _OBS = {
     "score": "cast(3000 + (event_id * 7919 + user_id * 31) % 7000 as double) / 10000",
     "matched": "event_type <> 'error'",
 }
-# the tracker's own boxes: same slots, other jitter, a row missing now and then
+# the tracker's own boxes: same slots, other jitter; now and then another object takes a slot
 _TRACKS = {
     "video_id": "cast(floor(event_id / 400) as bigint)",
     "frame_idx": "cast(floor(event_id / 4) as bigint) % 100",
-    "obj_id": "event_id % 4 + 1",
+    "obj_id": "event_id % 4 + 1 + case when user_id % 10 = 0 then 10 else 0 end",
     "x1": "cast((event_id % 4) * 100 + ((cast(floor(event_id / 4) as bigint) % 100) * 3) % 45 + 4 + (user_id * 7) % 23 as double)",
     "y1": "cast(44 + (user_id * 5) % 17 as double)",
     "x2": "cast((event_id % 4) * 100 + ((cast(floor(event_id / 4) as bigint) % 100) * 3) % 45 + 4 + (user_id * 7) % 23 + 60 as double)",
@@ -144,7 +144,7 @@ class Tables:
         return self.raw("events").selectExpr(*_cols(_OBS))
 
     def tracks(self) -> DataFrame:
-        return self.raw("events").where("user_id % 10 <> 0").selectExpr(*_cols(_TRACKS))
+        return self.raw("events").selectExpr(*_cols(_TRACKS))
 
     def actions(self) -> DataFrame:
         return self.raw("events").selectExpr(*_cols(_ACTIONS))
@@ -196,7 +196,7 @@ def _duck_tables() -> dict[str, str]:
         "mask_runs": runs,
         "pixels": pixels,
         "track_obs": f"select {_sel(_OBS)} from events",
-        "tracks": f"select {_sel(_TRACKS)} from events where user_id % 10 <> 0",
+        "tracks": f"select {_sel(_TRACKS)} from events",
         "actions": f"select {_sel(_ACTIONS)} from events",
         "replies": f"select {_sel(_REPLIES)} from documents",
     }
