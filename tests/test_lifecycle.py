@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from visiontables.streaming.lifecycle import TrackerConfig, VideoTracker, frame_stream, track_batch, track_stream, use_rocksdb
+from visiontables.streaming.lifecycle import TrackerConfig, VideoTracker, bidirectional, frame_stream, track_batch, track_stream, use_rocksdb
 
 
 def box(i, x, score=0.9, y=0.0, w=10.0):
@@ -106,3 +106,31 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.sql("select * from tracked").collect()))
     assert got == want and len(got) > 100
     assert frame_stream(spark, folder, "frame_idx bigint").isStreaming
+
+
+def test_an_empty_last_frame_shows_what_is_carried():
+    out = play([[box(1, 0)], [], [box(2, 1)], []], TrackerConfig(delay=2))
+    assert seen(out) == [(f, 1) for f in range(4)]
+
+
+def test_frames_are_those_with_rows():
+    t = VideoTracker(TrackerConfig(delay=0))
+    out = t.feed([(0, *box(1, 0)), (10**9, *box(2, 1))]) + t.finish()
+    assert seen(out) == [(0, 1), (10**9, 1)]
+
+
+def test_no_limit_on_objects():
+    many = [box(i, 20.0 * i) for i in range(10_050)]
+    assert len(play([many], TrackerConfig(delay=0))) == 10_050
+    assert len(play([many], TrackerConfig(delay=0, most_objects=7))) == 7
+
+
+def test_passes_share_ids(spark):
+    rows = [(1, f, 10 * f + k, *box(0, 50.0 * k + f)[1:5], 0.9) for f in range(5) for k in range(2)]
+    rows += [(1, f, 10 * f + 5, 300.0, 0.0, 310.0, 10.0, 0.9) for f in (0, 1)] + [(1, 4, 45, 400.0, 0.0, 410.0, 10.0, 0.9)]
+    dets = spark.createDataFrame(rows, "video_id long, frame_idx long, det_id long, x1 double, y1 double, x2 double, y2 double, score double")
+    starts = spark.createDataFrame([(1, 2)], "video_id long, start long")
+    out = bidirectional(dets, starts, TrackerConfig(delay=1)).collect()
+    ids = {(r.frame_idx, r.obj_id) for r in out}
+    assert {i for f, i in ids if i in (1, 2)} == {1, 2} and all({(f, 1), (f, 2)} <= ids for f in range(5))
+    assert {i for f, i in ids if f < 2} - {1, 2} == {-3} and {i for f, i in ids if f >= 2} - {1, 2} == {3}
