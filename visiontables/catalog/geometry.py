@@ -519,10 +519,10 @@ def assigned_ids(t):
 @query("ordered_by_score", "detections", """
 select image_id, det_id, score, row_number() over (partition by image_id order by score desc, det_id) as place from detections""")
 def ordered_by_score(t):
-    from pyspark.sql import Window
+    from visiontables.operators.numbering import position_in_order
 
-    w = Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")
-    return t.detections().select("image_id", "det_id", "score", F.row_number().over(w).cast("bigint").alias("place"))
+    rows = t.detections().select("image_id", "det_id", "score")
+    return position_in_order(rows, ["image_id"], [F.desc("score"), F.asc("det_id")], "place").select("image_id", "det_id", "score", "place")
 
 
 @query("union_of_prompts", "detections", "select prompt, count(*) as n, sum(cast(score * 10000 as bigint))::bigint as total from detections group by prompt")

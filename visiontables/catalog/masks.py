@@ -260,12 +260,12 @@ select n.image_id, n.det_id, n.pos - 1 as obj_id, case when n.det_id % 2 = 0 the
  case when n.det_id % 3 = 0 then (y2 - y1) / {H} when n.det_id % 3 = 1 then (y2 - y1) / 1000 else coalesce((b.d - b.b + 1) / {H}, 0.0::double) end as h
  from n left join b on b.image_id = n.image_id and b.det_id = n.det_id""")
 def masks_as_tracks(t):
-    from visiontables.operators.select import position_in_group
+    from visiontables.operators.numbering import position_in_order
 
     d, runs = _some(t)
     box = M.mask_bbox(d, runs, KEYS, "inclusive").withColumnsRenamed({c: "m" + c for c in ("x1", "y1", "x2", "y2")})
     has = runs.select(*KEYS).distinct().withColumn("_has", F.lit(True))
-    a = position_in_group(d, ["image_id"], "det_id", 1 << 49, "pos").join(box, KEYS).join(has, KEYS, "left")
+    a = position_in_order(d, ["image_id"], [F.asc("det_id")], "pos").join(box, KEYS).join(has, KEYS, "left")
     a = a.withColumns({"m" + c: F.when(F.col("_has"), F.col("m" + c)) for c in ("x1", "y1", "x2", "y2")})
     kind = F.col("det_id") % 3
     given = {"x": F.col("x1"), "y": F.col("y1"), "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}

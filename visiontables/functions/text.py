@@ -222,7 +222,9 @@ def canonicalize_text(text: Column, mode: str = "canonicalize", keep: str | None
     """Unescape entities twice and collapse white space; ``lower`` also lowers,
     ``canonicalize`` also turns "_" into a space and drops ASCII punctuation,
     except the exact string ``keep``."""
-    out = _unescape(text)
+    # only texts with an "&" leave the JVM
+    marked = F.when(text.contains("&"), text)
+    out = F.coalesce(_unescape(marked), text)
     if mode == "canonicalize":
         out = F.translate(out, "_", " ")
         if keep:

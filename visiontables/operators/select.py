@@ -13,6 +13,7 @@ CRITERIA = (
     "second_from_left", "second_from_right", "third_from_left", "third_from_right",
     "left_of_all", "right_of_all", "above_all", "below_all",
 )
+# Relation names (fixed values).
 RELATIONS = ("left_of", "right_of", "above", "below", "near", "far_from")
 
 

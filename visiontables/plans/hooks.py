@@ -132,16 +132,16 @@ def retry_unresolved(work: DataFrame, attempt: Callable[[DataFrame, int], DataFr
 
 
 def register_tile_function(spark, name: str = "tile_grid") -> None:
-    """Tile grids for SQL: ``SELECT * FROM images, LATERAL tile_grid(w, h, 512, 0.15)``."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="tile_id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
-    class TileGrid:
-        def eval(self, w: int, h: int, tile: int, overlap: float):
-            stride = int(tile * (1 - float(overlap)))
-            starts = lambda dim: [max(0, min(i * stride, dim - tile)) for i in range(max(0, -(-(dim - tile) // stride)) + 1)]
-            spots = [(x, y) for y in starts(h) for x in starts(w)]
-            for i, (x, y) in enumerate(spots):
-                yield i, x, y, min(x + tile, w), min(y + tile, h)
-
-    spark.udtf.register(name, TileGrid)
+    """Tile grids for SQL: ``SELECT * FROM images, LATERAL tile_grid(w, h, 512, 0.15D)``.
+
+    A SQL table function, so the optimizer sees through it.
+    """
+    spark.sql(f"""
+        create or replace temporary function {name}(w bigint, h bigint, tile int, overlap double)
+        returns table (tile_id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint)
+        return select iy * nx + ix, x0, y0, least(x0 + tile, w), least(y0 + tile, h)
+          from (select ix, iy, nx, greatest(0L, least(ix * stride, w - tile)) as x0, greatest(0L, least(iy * stride, h - tile)) as y0
+            from (select stride, nx, ix, explode(sequence(0L, ny - 1)) as iy
+              from (select stride, nx, ny, explode(sequence(0L, nx - 1)) as ix
+                from (select stride, greatest(0L, ceil((w - tile) / stride)) + 1 as nx, greatest(0L, ceil((h - tile) / stride)) + 1 as ny
+                  from (select cast(floor(tile * (1 - overlap)) as bigint) as stride)))))""")
