@@ -232,7 +232,8 @@ def shingles(t):
 
 
 @pytest.mark.parametrize("long_list", [32, 2])
-def test_jaccard_join(spark, long_list):
+def test_jaccard_join(spark, long_list, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 20 if long_list == 2 else 4_096)
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = prose(6, 80, 150)

@@ -20,6 +20,8 @@ _U = np.uint64
 # Long lists that are told apart: those with the most members. Only what comes last in the search depends on it.
 MOST_LONG = 1 << 18
 SALT_ROWS = 8_192
+#: Members of a long list that are compared with each other in one go.
+BLOCK_ROWS = 4_096
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -162,6 +164,33 @@ def _merge_lists(join: Join):
     return run
 
 
+def _cross(join: Join):
+    """Pairs of two blocks of a list that are in different groups and may still link, by positions and sketches."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sig, n, left, label, block = (table.column(c).to_numpy() for c in ("sig", "n", "left", "label", "block"))
+        sketch = np.stack([x.values.to_numpy() for x in table.column("sketch")])
+        bits = np.unpackbits(sketch.view(np.uint8), axis=1).astype(np.float32)
+        ones = bits.sum(axis=1)
+        one, two = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        out: list[list] = [[], []]
+        for lo in range(0, len(one), 1024):
+            for to in range(0, len(two), 1024):
+                x, y = one[lo : lo + 1024], two[to : to + 1024]
+                both = n[x][:, None] + n[y]
+                need = -(-join.percent * both // (100 + join.percent))
+                differ = ones[x][:, None] + ones[y] - 2 * (bits[x] @ bits[y].T)
+                ok = (differ <= both - 2 * need) & (label[x][:, None] != label[y]) & (np.minimum(left[x][:, None], left[y]) >= need)
+                if key[1] == key[2]:
+                    ok &= sig[x][:, None] < sig[y]
+                i, j = np.nonzero(ok)
+                out[0].append(x[i]), out[1].append(y[j])
+        i, j = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+        return pa.table({"a": sig[i], "na": n[i], "b": sig[j], "nb": n[j]})
+
+    return run
+
+
 def _probe(join: Join):
     """Look up each shingle of the smaller set in the larger by binary search, and keep pairs with the required overlap."""
 
@@ -293,12 +322,12 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
             near = lists.join(hub, ["shingle", "band"]).where((F.col("label") != F.col("hub.label")) & fits("n", "hub.n"))
             probed = compare(near.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("hub.sig").alias("b"), F.col("hub.n").alias("nb")))
         lists = labelled()
-        mixed = lists.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("shingle")
-        lists = lists.join(mixed, "shingle")
-        x, y = (lists.select("shingle", *[F.col(c).alias(c + s) for c in ("sig", "n", "left", "label")]) for s in "xy")
-        enough = (100 + join.percent) * F.least("leftx", "lefty") >= join.percent * (F.col("nx") + F.col("ny"))
-        cross = x.join(y, "shingle").where((F.col("labelx") < F.col("labely")) & enough)
-        probed = compare(cross.select(F.col("sigx").alias("a"), F.col("nx").alias("na"), F.col("sigy").alias("b"), F.col("ny").alias("nb")))
+        mixed = lists.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")).where("l <> h").select("shingle", "blocks")
+        block = F.pmod("sig", F.col("blocks")).alias("block")
+        dealt = lists.join(mixed, "shingle").join(verifier.sketches, "sig").select("shingle", block, "sig", "n", "left", "label", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        dealt = dealt.withColumns({"i": F.least("block", "with").cast("bigint"), "j": F.greatest("block", "with").cast("bigint")}).drop("with")
+        cross = dealt.groupBy("shingle", "i", "j").applyInArrow(_cross(join), "a bigint, na bigint, b bigint, nb bigint")
+        probed = compare(cross)
 
     groups = components(probed.where("linked"))
     smallest = sets.where("sig is not null").groupBy("sig").agg(F.min("message_id").alias("first"))
