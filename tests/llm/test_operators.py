@@ -426,7 +426,7 @@ def test_probabilities_sum_to_one():
     assert np.isclose(np.exp(logp).sum(), 1, atol=1e-4)
 
 
-@pytest.mark.parametrize("common", [50, 1 << 19])
+@pytest.mark.parametrize("common", [50, 1 << 17])
 def test_language_model(spark, common, monkeypatch):
     monkeypatch.setattr(language_model, "COMMON", common)
     rows = prose(13, 150, 50) + EDGES + [(None, "x y"), (2000, None)]

@@ -6,8 +6,10 @@ import heapq
 
 import numpy as np
 
-CLASS = 32
+CLASS = 16
+#: Steps of back-propagation, and steps whose outputs are scored together.
 WINDOW = 24
+SCORED = 128
 LANES = 384
 _F = np.float32
 
@@ -68,7 +70,7 @@ class Reader:
         self.width = model["embed"].shape[1]
         self.grads: dict[str, np.ndarray] | None = None
 
-    def windows(self, tokens: np.ndarray, first: np.ndarray):
+    def windows(self, tokens: np.ndarray, first: np.ndarray, width: int | None = None):
         """Yield window number, inputs, states before and after each step, gates, and token places; ``tokens`` end each text with ``end``."""
         order, edge = lanes(first)
         stream = tokens[order]
@@ -76,8 +78,9 @@ class Reader:
         before[1:] = stream[:-1]
         begin, size = edge[:-1], np.diff(edge)
         h = np.zeros((len(begin), self.width), _F)
-        for number, t0 in enumerate(range(0, int(size[0]) if len(size) else 0, WINDOW)):
-            steps = min(WINDOW, int(size[0]) - t0)
+        width = width or WINDOW
+        for number, t0 in enumerate(range(0, int(size[0]) if len(size) else 0, width)):
+            steps = min(width, int(size[0]) - t0)
             live = [int(np.searchsorted(-size, -(t0 + j), side="left")) for j in range(steps)]
             yield number, order, stream, before, begin, t0, live, h
             h = self.state
@@ -85,7 +88,9 @@ class Reader:
     def run(self, x: np.ndarray, h: np.ndarray, table: np.ndarray, keep: list | None):
         """One step for all live lanes."""
         w = self.width
-        h = np.where((x == self.end)[:, None], _F(0), h)
+        begins = x == self.end
+        if begins.any():
+            h = np.where(begins[:, None], _F(0), h)
         a = table[x]
         b = h @ self.model["state"]
         zr = _sigmoid(a[:, : 2 * w] + b[:, : 2 * w])
@@ -137,7 +142,7 @@ class Reader:
     def score(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log-probability of every token."""
         out, table = np.zeros(len(tokens)), self.table()
-        for _, order, stream, before, begin, t0, live, h in self.windows(tokens, first):
+        for _, order, stream, before, begin, t0, live, h in self.windows(tokens, first, SCORED):
             hidden, at = [], []
             for j, k in enumerate(live):
                 h = self.run(before[begin[:k] + t0 + j], h[:k], table, None)

@@ -14,12 +14,12 @@ from visiontables.llm import gru
 from visiontables.llm import textbytes as B
 from visiontables.llm.tables import narrow, written
 
-SYMBOLS = 1024
+SYMBOLS = 512
 WIDTH = 16
 #: Words whose counts every task holds; the counts of all others are joined.
-COMMON = 1 << 19
+COMMON = 1 << 17
 ROUNDS = 2
-STRIDE = 3
+STRIDE = 4
 _SLICE = 12 << 20
 _U = np.uint64
 
@@ -83,7 +83,7 @@ def _train(vocabulary, model, round_: int, rate: float):
         reader = gru.Reader(gru.unpacked(model.value, SYMBOLS, WIDTH), v.end)
         for b in B.slices(batches, most=_SLICE):
             tokens, first, _, _ = v.tokens(*_words(b.column("text")))
-            reader.train(tokens, first, rate, STRIDE * ROUNDS, round_, memory)
+            reader.train(tokens, first, rate, STRIDE, round_ % STRIDE, memory)
             seen += len(tokens)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([gru.packed(reader.model)], pa.binary())], names=["task", "weight", "model"])
@@ -155,7 +155,8 @@ def score_messages(messages: DataFrame, training: Column, message_id: str = "mes
     Words are counted over all training texts. Each task trains on its own
     texts by back-propagation truncated to windows, on one window in ``STRIDE``
     (states run through all); the tasks' weights are averaged, by their tokens
-    and in two steps, after each of ``ROUNDS`` rounds. Counts of the ``COMMON``
+    and in two steps, after each of ``ROUNDS`` rounds, and each round takes its
+    share of the texts. Counts of the ``COMMON``
     most frequent words are broadcast, a fixed bound; those of the other words,
     none of them frequent, are joined. A repeated row is repeated; without
     training rows only the ends of texts cost nothing.
@@ -174,7 +175,7 @@ def score_messages(messages: DataFrame, training: Column, message_id: str = "mes
     model = gru.packed(gru.start(words.sizes, WIDTH))
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
-        parts = learnt.select("text").mapInArrow(_train(vocabulary, now, k, rate / (1 + k)), "task bigint, weight double, model binary")
+        parts = learnt.where(F.pmod("text_hash", F.lit(ROUNDS)) == k).select("text").mapInArrow(_train(vocabulary, now, k, rate / (1 + k)), "task bigint, weight double, model binary")
         parts = written(parts, "weights")
         n = parts.count()
         group = F.pmod("task", F.lit(max(1, int(np.sqrt(n))))).alias("group")
