@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -18,7 +19,7 @@ import regex
 
 from visiontables.llm.textbytes import ragged
 
-MOST_STRETCHES = 800_000
+MOST_STRETCHES = 400_000
 # Fixed value: how the vocabulary's file splits normalized text.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
@@ -35,7 +36,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.piece: dict[str, list[int]] = {}
+        self.piece: dict[str, bytes] = {}
         self.stretch: dict[str, int] = {}
         self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -53,14 +54,15 @@ class Encoder:
         model, known, ids, size = self.tokenizer.model, self.piece, [], []
         for s, pieces in zip(stretches, self._pieces(stretches)):
             self.stretch[s] = len(self.stretch)
-            before = len(ids)
+            total = 0
             for p in pieces:
                 got = known.get(p)
                 if got is None:
-                    got = known[p] = [t.id for t in model.tokenize(_bytes_shown(p))]
-                ids += got
-            size.append(len(ids) - before)
-        self.ids = np.concatenate([self.ids, np.array(ids, dtype=np.uint32)])
+                    got = known[p] = array("I", [t.id for t in model.tokenize(_bytes_shown(p))]).tobytes()
+                ids.append(got)
+                total += len(got)
+            size.append(total // 4)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
         self.size = np.concatenate([self.size, np.array(size, dtype=np.int64)])
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
