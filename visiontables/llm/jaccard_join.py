@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from visiontables.llm import textbytes as B
 from visiontables.llm.links import components
-from visiontables.llm.tables import narrow, written
+from visiontables.llm.tables import most_frequent, narrow, written
 from visiontables.session import is_empty
 
 _U = np.uint64
@@ -286,7 +286,7 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
     verifier = _Verifier(join, m, sets)
 
     lengths = m.select("text").mapInArrow(_list_lengths(join), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    long = written(lengths.where(F.col("n") > join.long_list).orderBy(F.desc("n"), "shingle").limit(MOST_LONG), "long-lists")
+    long = most_frequent(written(lengths.where(F.col("n") > join.long_list), "long-lists"), "n", MOST_LONG)
     known = np.sort(np.array([r[0] for r in long.select("shingle").collect()], np.int64).view(_U))
     shared = spark.sparkContext.broadcast(known)
     postings = m.select("text").mapInArrow(_postings(join, shared), "shingle bigint, sig bigint, n bigint, left bigint")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from visiontables.llm import gru
 from visiontables.llm import textbytes as B
-from visiontables.llm.tables import narrow, written
+from visiontables.llm.tables import most_frequent, written
 
 SYMBOLS = 512
 WIDTH = 16
@@ -169,7 +169,7 @@ def score_messages(messages: DataFrame, training: Column, message_id: str = "mes
     counts = written(learnt.select("text").mapInArrow(_counted, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = learnt.count()
-    common = counts.orderBy(F.desc("c"), "word").limit(COMMON).toPandas()
+    common = most_frequent(counts, "c", COMMON).toPandas().sort_values(["c", "word"], ascending=[False, True])
     words = _Vocabulary(common["word"].to_numpy(np.int64), common["c"].to_numpy(np.int64), ends, int(total))
     vocabulary = spark.sparkContext.broadcast(words)
     model = gru.packed(gru.start(words.sizes, WIDTH))
@@ -188,7 +188,7 @@ def score_messages(messages: DataFrame, training: Column, message_id: str = "mes
         _score(vocabulary, final), f"message_id {kind}, text_hash bigint, n_tokens bigint, known bigint, common_log double, other_log double, n_other bigint, model_log double")
     scored = written(scored, "scores")
     rest = m.select("message_id", "text", "text_hash").mapInArrow(_rest(vocabulary), f"message_id {kind}, text_hash bigint, word bigint")
-    if distinct > COMMON:
+    if distinct > len(common):
         rest = rest.join(counts, "word")
         rest = rest.groupBy("message_id", "text_hash").agg(F.sum(F.log10(F.col("c") + 1)).alias("log"), F.count(F.lit(1)).alias("n"))
         copies = scored.groupBy("message_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))

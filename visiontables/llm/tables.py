@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from visiontables.session import shared_folder
 
@@ -23,3 +24,20 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns can't clash."""
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of largest ``count``, at most ``most`` of them.
+
+    Counts are graded by their logarithm, sixteen grades to a doubling; the
+    highest grades whose rows fit are taken whole. Only the sizes of grades
+    come to the driver, so no task sends it ``most`` rows of its own.
+    """
+    grade = F.floor(F.log2(F.col(count)) * 16)
+    cut, total = None, 0
+    for g, n in sorted((tuple(r) for r in df.groupBy(grade.alias("g")).count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        cut = g
+    return df.limit(0) if cut is None else df.where(grade >= cut)
