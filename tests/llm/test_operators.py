@@ -251,6 +251,25 @@ def test_jaccard_join(spark, long_list, monkeypatch):
     assert Counter((r["message_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((i, len(s), want[i]) for i, s in sets)
 
 
+def test_jaccard_join_of_salted_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 64)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[k : k + 4])) for k in range(57)]  # each shingle is a text, so all lists are long
+    rows += [(100 + k, " ".join([*base[:-1], f"v{k}"])) for k in range(20)]
+    # every part of the input holds every text, and no two parts of a list are merged for being small
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        copies = spark.createDataFrame(spark.sparkContext.parallelize(rows * 16, 16), "message_id bigint, text string")
+        got = {(r["message_id"], r["component_id"]) for r in jaccard_join.join_messages(copies, jaccard_join.Join(long_list=8)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {(i, min(i, 100)) for i, _ in rows}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join_messages(messages(spark, [])).count() == 0
 

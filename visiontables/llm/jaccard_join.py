@@ -118,22 +118,26 @@ def _postings(join: Join, long_lists):
 
 
 def _merge_lists(join: Join):
-    """Candidates from lists that come sorted by shingle; what is left of long ones goes on as it is."""
+    """Candidates from lists that come sorted by shingle; what is left of long ones goes on as it is.
+
+    A list with salts is here only in part, so it counts as long whatever is here of it.
+    """
     names = ["long", "shingle", "a", "na", "b", "nb", "left"]
 
-    def merged(shingle: np.ndarray, sig: np.ndarray, n: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+    def merged(shingle: np.ndarray, salt: np.ndarray, sig: np.ndarray, n: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
         keep = np.ones(len(sig), bool)
         keep[1:] = (shingle[1:] != shingle[:-1]) | (sig[1:] != sig[:-1])
-        shingle, sig, n, rest = shingle[keep], sig[keep], n[keep], rest[keep]
+        shingle, salt, sig, n, rest = shingle[keep], salt[keep], sig[keep], n[keep], rest[keep]
         head = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
         size = np.diff(np.append(head, len(shingle)))
         each = np.repeat(size, size)
+        long = (each > join.long_list) | (salt > 0)
         left = [np.zeros(0, np.int64)]
         right = [np.zeros(0, np.int64)]
         place = np.arange(len(shingle))
         end = np.repeat(head + size, size)
         for gap in range(1, join.long_list):  # members of short lists with the member `gap` further on
-            i = place[(each > gap) & (each <= join.long_list) & (place + gap < end)]
+            i = place[(each > gap) & ~long & (place + gap < end)]
             if not len(i):
                 break
             j = i + gap
@@ -142,14 +146,14 @@ def _merge_lists(join: Join):
             left.append(i[fits]), right.append(j[fits])
         i, j = np.concatenate(left), np.concatenate(right)
         a, b = np.where(sig[i] < sig[j], i, j), np.where(sig[i] < sig[j], j, i)
-        k = np.flatnonzero(each > join.long_list)
+        k = np.flatnonzero(long)
         no, none = np.zeros(len(a), bool), np.full(len(k), None)
         cols = [np.concatenate([no, np.ones(len(k), bool)]), np.concatenate([shingle[a], shingle[k]]), np.concatenate([sig[a], sig[k]]), np.concatenate([n[a], n[k]])]
         return pa.RecordBatch.from_arrays(
             [*map(pa.array, cols), pa.array(np.concatenate([sig[b].astype(object), none]), pa.int64()), pa.array(np.concatenate([n[b].astype(object), none]), pa.int64()), pa.array(np.concatenate([rest[a], rest[k]]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 5
         for b in batches:
             now = [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
             if not len(now[0]):
@@ -276,7 +280,8 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
       that are not yet in one group are then compared with each other.
 
     Copies of one set count once. Long lists are salted by their counted
-    length, so no list, however common, is gathered in one task.
+    length, so no list, however common, is gathered in one task; all members
+    of a salted list take the way of the long ones.
     """
     spark = messages.sparkSession
     m = narrow(messages, message_id=message_id, text=text).where(F.col("message_id").isNotNull())
@@ -290,10 +295,10 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
     known = np.sort(np.array([r[0] for r in long.select("shingle").collect()], np.int64).view(_U))
     shared = spark.sparkContext.broadcast(known)
     postings = m.select("text").mapInArrow(_postings(join, shared), "shingle bigint, sig bigint, n bigint, left bigint")
-    salts = F.when(F.col("length") > SALT_ROWS, F.pmod("sig", F.ceil(F.col("length") / SALT_ROWS))).otherwise(0)
+    salts = F.when(F.col("length") > SALT_ROWS, 1 + F.pmod("sig", F.ceil(F.col("length") / SALT_ROWS))).otherwise(0).cast("bigint")
     salted = postings.join(F.broadcast(long.select("shingle", F.col("n").alias("length"))), "shingle", "left").select("shingle", F.coalesce(salts, F.lit(0)).alias("salt"), "sig", "n", "left")
     lists = salted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "sig")
-    found = written(lists.select("shingle", "sig", "n", "left").mapInArrow(_merge_lists(join), "long boolean, shingle bigint, a bigint, na bigint, b bigint, nb bigint, left bigint"), "candidates")
+    found = written(lists.select("shingle", "salt", "sig", "n", "left").mapInArrow(_merge_lists(join), "long boolean, shingle bigint, a bigint, na bigint, b bigint, nb bigint, left bigint"), "candidates")
     pairs = written(verifier.near(found.where("not long").select("a", "na", "b", "nb").distinct()), "near")
     rest = found.where("long").select("shingle", F.col("a").alias("sig"), F.col("na").alias("n"), "left").distinct()
     verifier.fetch(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(rest.select("sig")).distinct())
