@@ -24,8 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of similar ones; those without words or id all stay."""
-    groups = jaccard_join.join_messages(docs, message_id="doc_id").where(F.col("component_id") == F.col("doc_id"))
+    """One document, of the smallest id, of each group of similar ones; those without words or id all stay.
+
+    Documents are similar when they share 80 of 100 five-word shingles, whatever ``op7_jaccard_join`` asks for.
+    """
+    groups = jaccard_join.join_messages(docs, jaccard_join.Join(width=5, percent=80), message_id="doc_id").where(F.col("component_id") == F.col("doc_id"))
     groups = written(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
     kept = docs.join(groups.where("rows = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     repeated = groups.where("rows > 1")

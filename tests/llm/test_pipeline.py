@@ -68,6 +68,18 @@ def test_stages(spark):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+def test_near_duplicates_share_80_of_100_five_word_shingles(spark):
+    w = [f"w{k}" for k in range(200)]
+    edited = lambda at: [f"v{k}" if k in at else x for k, x in enumerate(w)]
+    # 100 words and 20 more: 96 of 116 five-word shingles (97 of 117 four-word ones); 30 more: 96 of 126
+    texts = {1: w[:100], 2: w[:120], 11: [x + "b" for x in w[:100]], 12: [x + "b" for x in w[:130]], 21: [x + "c" for x in w], 22: [x + "c" for x in edited({30, 80, 130, 170})]}
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "x", 1) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    five = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in texts.items()}
+    links = [(a, b) for a in five for b in five if b < a and 100 * len(five[a] & five[b]) >= 80 * len(five[a] | five[b])]
+    assert kept == {i for i, r in roots(set(five), links).items() if i == r} == {1, 11, 12, 21}
+
+
 def test_the_query_runs_all_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 50
