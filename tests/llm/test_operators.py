@@ -459,6 +459,16 @@ def test_language_model(spark, common, monkeypatch):
     assert np.allclose(sorted(r["base_score"] for r in got), base) and all(r["score"] < 0 for r in got)
 
 
+def test_language_model_learns_from_every_window(spark):
+    rng = random.Random(17)
+    # of four windows, two of chance and two whose next word is certain; by counts alone a word costs two bits
+    four = lambda: [rng.choice("ab") for _ in range(2 * gru.WINDOW)] + ["x", "y"] * gru.WINDOW
+    rows = [(k, " ".join(w for _ in range(60) for w in four())) for k in range(16)]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "message_id bigint, text string")
+    got = language_model.score_messages(texts, F.col("message_id") % 4 != 0).where("message_id % 4 = 0").collect()
+    assert len(got) == 4 and all(r["base_score"] / r["n_tokens"] < -1.9 * math.log10(2) and r["score"] / r["n_tokens"] > -math.log10(2) for r in got)
+
+
 def test_language_model_without_training(spark):
     got = language_model.score_messages(messages(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert {(r["message_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in got} == {(1, 3, 0, 0.0), (2, 1, 0, 0.0)}

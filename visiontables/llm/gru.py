@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 
-CLASS = 16
+CLASS = 32
 #: Steps of back-propagation, and steps whose outputs are scored together.
 WINDOW = 24
 SCORED = 128
@@ -153,21 +153,17 @@ class Reader:
             out[order[at]] = self.output(np.concatenate(hidden), stream[at])[0]
         return out
 
-    def train(self, tokens: np.ndarray, first: np.ndarray, rate: float, stride: int, phase: int, memory: dict) -> None:
-        """Adam over one window in ``stride``; the state runs through all of them."""
+    def train(self, tokens: np.ndarray, first: np.ndarray, rate: float, memory: dict) -> None:
+        """A step of Adam for every window."""
         table = self.table()
-        for number, _, stream, before, begin, t0, live, h in self.windows(tokens, first):
-            learn = number % stride == phase
-            keep: list | None = [] if learn else None
+        for _, _, stream, before, begin, t0, live, h in self.windows(tokens, first):
+            keep: list = []
             hidden, at = [], []
             for j, k in enumerate(live):
                 h = self.run(before[begin[:k] + t0 + j], h[:k], table, keep)
-                if learn:
-                    hidden.append(h)
-                    at.append(begin[:k] + t0 + j)
+                hidden.append(h)
+                at.append(begin[:k] + t0 + j)
             self.state = h
-            if not learn:
-                continue
             grads = {k: np.zeros_like(v) for k, v in self.model.items()}
             at = np.concatenate(at)
             _, back = self.output(np.concatenate(hidden), stream[at], grads)

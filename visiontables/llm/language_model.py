@@ -14,12 +14,10 @@ from visiontables.llm import gru
 from visiontables.llm import textbytes as B
 from visiontables.llm.tables import most_frequent, written
 
-SYMBOLS = 512
+SYMBOLS = 1024
 WIDTH = 16
 #: Words whose counts every task holds; the counts of all others are joined.
 COMMON = 1 << 17
-ROUNDS = 2
-STRIDE = 4
 _SLICE = 12 << 20
 _U = np.uint64
 
@@ -77,13 +75,13 @@ class _Vocabulary:
         return out, first + np.arange(n + 1), at, known
 
 
-def _train(vocabulary, model, round_: int, rate: float):
+def _train(vocabulary, model, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, reader, memory, seen = vocabulary.value, None, {}, 0
         reader = gru.Reader(gru.unpacked(model.value, SYMBOLS, WIDTH), v.end)
         for b in B.slices(batches, most=_SLICE):
             tokens, first, _, _ = v.tokens(*_words(b.column("text")))
-            reader.train(tokens, first, rate, STRIDE, round_ % STRIDE, memory)
+            reader.train(tokens, first, rate, memory)
             seen += len(tokens)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([gru.packed(reader.model)], pa.binary())], names=["task", "weight", "model"])
@@ -153,13 +151,11 @@ def score_messages(messages: DataFrame, training: Column, message_id: str = "mes
       and a word within the class; its state runs through the whole text.
 
     Words are counted over all training texts. Each task trains on its own
-    texts by back-propagation truncated to windows, on one window in ``STRIDE``
-    (states run through all); the tasks' weights are averaged, by their tokens
-    and in two steps, after each of ``ROUNDS`` rounds, and each round takes its
-    share of the texts. Counts of the ``COMMON``
-    most frequent words are broadcast, a fixed bound; those of the other words,
-    none of them frequent, are joined. A repeated row is repeated; without
-    training rows only the ends of texts cost nothing.
+    texts, once and on every window of each, by back-propagation truncated to
+    windows; the tasks' weights are averaged, by their tokens and in two steps.
+    Counts of the ``COMMON`` most frequent words are broadcast, a fixed bound;
+    those of the other words, none of them frequent, are joined. A repeated row
+    is repeated; without training rows only the ends of texts cost nothing.
     """
     spark = messages.sparkSession
     m = messages.select(messages[message_id].alias("message_id"), F.coalesce(messages[text], F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
@@ -173,16 +169,15 @@ def score_messages(messages: DataFrame, training: Column, message_id: str = "mes
     words = _Vocabulary(common["word"].to_numpy(np.int64), common["c"].to_numpy(np.int64), ends, int(total))
     vocabulary = spark.sparkContext.broadcast(words)
     model = gru.packed(gru.start(words.sizes, WIDTH))
-    for k in range(ROUNDS):
-        now = spark.sparkContext.broadcast(model)
-        parts = learnt.where(F.pmod("text_hash", F.lit(ROUNDS)) == k).select("text").mapInArrow(_train(vocabulary, now, k, rate / (1 + k)), "task bigint, weight double, model binary")
-        parts = written(parts, "weights")
-        n = parts.count()
-        group = F.pmod("task", F.lit(max(1, int(np.sqrt(n))))).alias("group")
-        means = parts.select(group, "weight", "model").groupBy("group").applyInArrow(_mean, "weight double, model binary").collect()
-        if means:
-            weight = sum(r["weight"] for r in means)
-            model = (sum(np.frombuffer(r["model"], np.float32).astype(np.float64) * r["weight"] for r in means) / weight).astype(np.float32).tobytes()
+    now = spark.sparkContext.broadcast(model)
+    parts = learnt.select("text").mapInArrow(_train(vocabulary, now, rate), "task bigint, weight double, model binary")
+    parts = written(parts, "weights")
+    n = parts.count()
+    group = F.pmod("task", F.lit(max(1, int(np.sqrt(n))))).alias("group")
+    means = parts.select(group, "weight", "model").groupBy("group").applyInArrow(_mean, "weight double, model binary").collect()
+    if means:
+        weight = sum(r["weight"] for r in means)
+        model = (sum(np.frombuffer(r["model"], np.float32).astype(np.float64) * r["weight"] for r in means) / weight).astype(np.float32).tobytes()
     final = spark.sparkContext.broadcast(model)
     scored = m.select("message_id", "text", "text_hash").mapInArrow(
         _score(vocabulary, final), f"message_id {kind}, text_hash bigint, n_tokens bigint, known bigint, common_log double, other_log double, n_other bigint, model_log double")
