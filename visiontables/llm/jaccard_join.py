@@ -1,4 +1,4 @@
-"""Messages that share most of their word shingles: an exact Jaccard join by T-occurrence search."""
+"""Messages that share most of their word shingles: an exact Jaccard join by prefix filter, sketches and hubs."""
 
 from __future__ import annotations
 
@@ -265,7 +265,8 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
     message id reachable by links) per input row; messages without an id are
     left out, a repeated row is repeated.
 
-    The search is a T-occurrence search that skips long lists:
+    The search is a prefix filter that takes long lists last; it counts no
+    occurrences over merged lists, for that would post every shingle:
 
     * Every distinct set searches its shortest inverted lists: all its lists
       but the required overlap less one. Which shingles have long lists (more
@@ -273,7 +274,7 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
       come last and are searched only by sets made of little else.
     * Short lists are merged, sorted by shingle, into candidate pairs. Pairs
       are dropped when their sizes or the parities of their sketches rule out
-      the required overlap; for the others, the remaining lists are probed by
+      the required overlap; for the others, the whole sets are intersected by
       binary search.
     * In lists that are long all the same, members are first compared with one
       of them (a hub), ``hub_rounds`` times with another hub; only members
