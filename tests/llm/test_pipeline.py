@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from test_operators import plain_passages, plain_secrets, roots, shingles
+from test_llm_operators import plain_passages, plain_secrets, roots, shingles
 
 import corpus_pipeline
 from visiontables.llm import quality_model
