@@ -43,4 +43,19 @@ with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as b from
  t as (select doc_id, sum(z - a) as removed, count(*) as spans, max(z) as last, string_agg(substr(b, (2 * before + 1)::bigint, (2 * (a - before))::bigint), '' order by a) as kept from e join d using (doc_id) group by doc_id)
 select d.doc_id, (len(b) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
  sha256(unhex(coalesce(kept, '') || substr(b, (2 * coalesce(last, 0) + 1)::bigint))) as kept_sha256 from d left join t using (doc_id)""",
+    "op11_prefix_trie": """
+with o as materialized (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p from conversations where conv_id is not null),
+ i as materialized (select c, c - c % 20 as base, xor(4294967295, list_reduce(list_transform(string_split(c::varchar, ''), lambda y: ord(y)::bigint),
+   lambda s, y: list_reduce(range(8), lambda t, k: case when t % 2 = 1 then xor(t // 2, 3988292384) else t // 2 end, xor(s, y)), 4294967295::bigint)) % 4 as h from (select distinct c from o)),
+ w as (select i.c, p, r, x from i join o on o.c = i.base and p <= h union all select i.c, p, r, x from i join o on o.c = i.c and p > h),
+ s as (select c, row_number() over (partition by c order by p) as d, sha256(to_json([r, x])) as k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n from w),
+ l as materialized (select i.c, coalesce(list(k order by d) filter (k is not null), []) as ks, coalesce(list(n order by d) filter (k is not null), []) as ns from i left join s using (c) group by i.c),
+ m as materialized (select c, d, sha256(array_to_string(list_slice(ks, 1, d), '')) as k, case when d > 0 then sha256(array_to_string(list_slice(ks, 1, d - 1), '')) end as pk, case when d > 0 then ns[d] else 0 end as n, len(ks) = d as last
+  from (select c, ks, ns, unnest(range(0, len(ks) + 1)) as d from l)),
+ v as materialized (select d, k, any_value(pk) as pk, min(c) as c, count(*) as convs, any_value(n) as n, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (last), '')) as ends from m group by d, k),
+ q as materialized (select v.d, v.k, any_value(v.pk) as pk, any_value(v.c) as c, any_value(v.convs) as convs, any_value(v.n) as n, any_value(v.ends) as ends, count(u.k) as children from v left join v u on u.pk = v.k and u.d = v.d + 1 group by v.d, v.k),
+ t as (select a.d, a.k, sum((q.children = 0)::bigint)::bigint as leaves, sum((q.convs - 1) * q.n)::bigint as saved from q join m a on a.c = q.c and a.d <= q.d group by a.d, a.k)
+select q.c as conv_id, q.d as depth, u.c as parent_conv_id, q.convs as n_convs, q.children as n_children, leaves as n_leaves, saved as saved_tokens, q.ends as ends_sha256
+ from q join t on t.d = q.d and t.k = q.k left join q u on u.k = q.pk and u.d = q.d - 1""",
 }

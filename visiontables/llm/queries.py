@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, quality_model, repeated_spans, secret_scan, token_files, toxicity_model
+from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, prefix_trie, quality_model, repeated_spans, secret_scan, token_files, toxicity_model
 from visiontables.llm.oracles import ORACLES as _SQL
 from visiontables.session import shared_folder
 
@@ -126,3 +126,16 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeated_spans.remove_repeats(table(spark, sf_dir, "documents"), message_id="doc_id")
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations, each rebuilt with the first turns of its twenty's first one."""
+    c = F.col("conv_id")
+    shared = F.crc32(c.cast("string").cast("binary")) % 4
+    turns, ids = prefix_trie.first_messages(table(spark, sf_dir, "conversations"), shared, c - c % 20)
+    trie = prefix_trie.prefix_trie(turns, ids)
+    nodes = trie.nodes.join(prefix_trie.ends_digest(trie.ends), ["depth", "a", "b"], "left")
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("sha256", sha256_of(F.lit("").cast("binary"))).alias("ends_sha256"))

@@ -26,6 +26,17 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+def salted_lookup(df: DataFrame, keys: list[str], table: DataFrame, salts: int = 64) -> DataFrame:
+    """``df`` with the columns of ``table``, which has one row per key; rows without a match go.
+
+    However many rows share a key, no task gets more than its ``salts``-th:
+    keys are first looked up once per salt, then rows by key and salt.
+    """
+    d = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    found = d.select(*keys, "_salt").distinct().join(table, keys)
+    return d.join(found, [*keys, "_salt"]).drop("_salt")
+
+
 def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of largest ``count``, at most ``most`` of them.
 
