@@ -58,4 +58,18 @@ with o as materialized (select conv_id as c, coalesce(role, '') as r, coalesce(t
  t as (select a.d, a.k, sum((q.children = 0)::bigint)::bigint as leaves, sum((q.convs - 1) * q.n)::bigint as saved from q join m a on a.c = q.c and a.d <= q.d group by a.d, a.k)
 select q.c as conv_id, q.d as depth, u.c as parent_conv_id, q.convs as n_convs, q.children as n_children, leaves as n_leaves, saved as saved_tokens, q.ends as ends_sha256
  from q join t on t.d = q.d and t.k = q.k left join q u on u.k = q.pk and u.d = q.d - 1""",
+    "op12_phrases": f"""
+with d as materialized (select coalesce(lang, 'und') as lang, list_transform(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+')) as ps from documents),
+ p as materialized (select lang, w from (select lang, unnest(ps) as w from d) where len(w) > 0),
+ n as (select lang, sum(len(w))::bigint as n from p group by 1),
+ g as (select lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as t from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, (select unnest([1, 2, 3]) as k) where len(w) >= k)),
+ f as materialized (select lang, k, t, count(*) as a from g group by all having count(*) >= 10),
+ c as (select lang, k, t, a, string_split(t, ' ') as w from f where k > 1),
+ u as (select lang, k, t, a, unnest(range(1, k)) as cut, w from c),
+ x as (select u.lang, u.k, u.t, u.a, cut, l.a as l, r.a as r, ((1000000::hugeint * u.a * u.a) // (l.a::hugeint * r.a))::bigint as score
+  from u join f l on l.lang = u.lang and l.t = array_to_string(list_slice(w, 1, cut), ' ') join f r on r.lang = u.lang and r.t = array_to_string(list_slice(w, cut + 1, u.k), ' ')),
+ y as (select * from x qualify row_number() over (partition by lang, t order by score, cut) = 1),
+ o as (select lang, array_to_string(list_slice(w, i, i + 1), ' ') as t, max(a) as a from (select lang, w, a, unnest([1, 2]) as i from c where k = 3) group by all),
+ z as (select y.lang, y.t as phrase, y.a, l, r, score from y left join o on y.k = 2 and o.lang = y.lang and o.t = y.t where o.a is null or 100 * o.a < 50 * y.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from z join n using (lang) qualify rank <= 2000""",
 }

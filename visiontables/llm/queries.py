@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, prefix_trie, quality_model, repeated_spans, secret_scan, token_files, toxicity_model
+from visiontables.llm import benchmark_match, embedding_links, jaccard_join, language_model, packing, phrase_index, prefix_trie, quality_model, quality_rules, repeated_spans, secret_scan, token_files, toxicity_model
 from visiontables.llm.oracles import ORACLES as _SQL
 from visiontables.session import shared_folder
 
@@ -139,3 +139,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("sha256", sha256_of(F.lit("").cast("binary"))).alias("ends_sha256"))
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of two or three words that stick together most."""
+    return phrase_index.mine_phrases(table(spark, sf_dir, "documents"), role="lang").withColumnRenamed("role", "lang")
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of rules learnt from the labels."""
+    documents = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn_rules(documents, table(spark, sf_dir, "labels"), ["doc_id"])
+    rated = quality_rules.rate_messages(documents, rules, ["doc_id"])
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
