@@ -42,6 +42,32 @@ def _statistics() -> dict[str, Column]:
     }
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used and wherever the plan moves it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _in_words(words: Column) -> Column:
+    """Of an array of word hashes: all, distinct ones, and those in repeated windows."""
+    size = lambda a: F.size(a).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def covered(placed: Column) -> Column:
+        next_to = lambda x, i: F.coalesce(F.get(placed, i)["h"] == x["h"], F.lit(False))
+        again = F.filter(placed, lambda x, i: next_to(x, i - 1) | next_to(x, i + 1))
+        start = F.struct(F.lit(-WINDOW).alias("last"), zero.alias("words"))
+        more = lambda a, x: F.struct(x.alias("last"), (a["words"] + F.least(F.lit(WINDOW), x - a["last"])).alias("words"))
+        return F.aggregate(F.array_sort(F.transform(again, lambda x: x["at"])), start, more, lambda a: a["words"])
+
+    def repeated(windows: Column) -> Column:
+        placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _bound(placed, covered)).otherwise(zero)
+
+    first = F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+    windows = F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, WINDOW)]))
+    return F.struct(size(words).alias("n_words"), size(F.array_distinct(words)).alias("n_distinct"), _bound(windows, repeated).alias("n_repeat_words"))
+
+
 def count_words(messages: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """The counts of every whole text that rules are made of, beside the ``keys`` columns.
 
@@ -54,34 +80,19 @@ def count_words(messages: DataFrame, keys: Sequence[str], text: str = "text") ->
     are compared by 64-bit hashes; a text's windows are sorted, so very long
     texts take n log n steps. No row leaves its task.
     """
-    counts = lambda pattern: F.regexp_count("_text", F.lit(pattern)).cast("bigint")
-    d = messages.select(*[messages[k].alias(f"_key{i}") for i, k in enumerate(keys)], F.coalesce(messages[text], F.lit("")).alias("_text"))
     held = [f"_key{i}" for i in range(len(keys))]
+    d = messages.select(*[messages[k].alias(h) for k, h in zip(keys, held)], F.coalesce(messages[text], F.lit("")).alias("_text"))
+    counts = lambda pattern: F.regexp_count("_text", F.lit(pattern)).cast("bigint")
+    words = F.transform(F.array_remove(F.split("_text", _SPACE), ""), lambda x: F.xxhash64(x))
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_lines = lambda a: F.struct(F.size(a).cast("bigint").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("bigint").alias("n_dup_lines"))
     d = d.select(
-        *held, F.array_remove(F.split("_text", _SPACE), "").alias("_words"),
-        F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        *held, _bound(words, _in_words).alias("_w"), _bound(lines, of_lines).alias("_l"),
         F.length(F.regexp_replace("_text", _SPACE, "")).cast("bigint").alias("word_chars"), counts(_SYMBOL).alias("n_symbols"),
         counts("[0-9]").alias("n_digits"), counts("[A-Z]").alias("n_capitals"), F.length("_text").cast("bigint").alias("n_chars"))
-    done = [*held, "word_chars", "n_symbols", "n_digits", "n_capitals", "n_chars"]
-    n = lambda c: F.size(c).cast("bigint")
-    d = d.select(
-        *done, F.transform("_words", lambda x: F.xxhash64(x)).alias("_hash"),
-        n("_lines").alias("n_lines"), (n("_lines") - n(F.array_distinct("_lines"))).alias("n_dup_lines"))
-    done += ["n_lines", "n_dup_lines"]
-    at = lambda i: F.get("_hash", i)
-    windows = F.transform(F.slice("_hash", 1, F.greatest(F.size("_hash") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[at(i + k) for k in range(1, WINDOW)]))
-    d = d.select(*done, n("_hash").alias("n_words"), n(F.array_distinct("_hash")).alias("n_distinct"), windows.alias("_windows"))
-    done += ["n_words", "n_distinct"]
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
-    d = d.select(*done, F.when(repeats, placed).alias("_sorted"))
-    next_to = lambda x, i: F.coalesce(F.get("_sorted", i)["h"] == x["h"], F.lit(False))
-    again = F.filter("_sorted", lambda x, i: next_to(x, i - 1) | next_to(x, i + 1))
-    d = d.select(*done, F.array_sort(F.transform(again, lambda x: x["at"])).alias("_starts"))
-    zero = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("words"))
-    covered = F.aggregate("_starts", zero, lambda a, x: F.struct(x.alias("last"), (a["words"] + F.least(F.lit(WINDOW), x - a["last"])).alias("words")), lambda a: a["words"])
-    d = d.select(*done, F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"))
-    return d.select(*[F.col(h).alias(k) for h, k in zip(held, keys)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_digits", "n_capitals", "n_chars")
+    return d.select(
+        *[F.col(h).alias(k) for h, k in zip(held, keys)], "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words",
+        "_l.n_lines", "_w.n_distinct", "n_digits", "n_capitals", "n_chars")
 
 
 def fails_base(least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED) -> Column:
@@ -153,7 +164,7 @@ def learn_rules(
     ids = ids.groupBy(*names).agg(F.max("_label").alias("_label")).orderBy(F.xxhash64(*names), *names).limit(sample)
     m = messages.select(*[messages[k].alias(n) for k, n in zip(keys, names)], messages[text].alias("_text"))
     m = m.join(F.broadcast(ids), names).select("_text", "_label", F.pmod(F.xxhash64(*names), F.lit(3)).alias("_part"))
-    counted = count_words(m, ["_label", "_part"], "_text").where(~fails_base())
+    counted = written(count_words(m, ["_label", "_part"], "_text"), "counts").where(~fails_base())
     statistics = list(_statistics())
     rows = written(counted.select((F.col("_label") == 0).alias("bad"), (F.col("_part") < 2).alias("grow"), *[c.alias(n) for n, c in _statistics().items()]), "statistics")
     cuts = rows.agg(*[F.percentile_approx(s, [k / grades for k in range(1, grades)], 10_000).alias(s) for s in statistics]).first()
