@@ -17,7 +17,7 @@ from visiontables.operators.numbering import position_in_order
 LEAST = 10
 TOP = 2000
 WITHIN = 50
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 SALTS = 64
 NO_ROLE = "und"
 
@@ -114,7 +114,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-_SHARD = pa.schema([("seq", pa.binary()), ("role", pa.list_(pa.string())), ("word", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+_SHARD = pa.schema([("seq", pa.binary()), ("roles", pa.list_(pa.string())), ("role", pa.list_(pa.int32())), ("word", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
 
 def _shards(most: int):
@@ -125,21 +125,24 @@ def _shards(most: int):
             if not len(start):
                 continue
             row = B.row_of(first)
-            breaks = np.cumsum(_BREAK[buf])[start]
+            breaks = np.searchsorted(np.flatnonzero(_BREAK[buf]), start)
             new = np.ones(len(start), bool)
             new[1:] = (np.diff(breaks) > 0) | (np.diff(row) > 0)
+            del breaks
             edges = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
             letters = _LOWER[buf[_IN_WORD[buf]]]
-            text = pa.StringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(letters)).dictionary_encode()
+            size = len(start)
+            del start, end
+            text = pa.StringArray.from_buffers(size, pa.py_buffer(edges), pa.py_buffer(letters)).dictionary_encode()
             roles = table.column("role").combine_chunks().dictionary_encode()
             of = roles.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
             code, word, n = np.unique(of * len(text.dictionary) + text.indices.to_numpy(), return_inverse=True, return_counts=True)
             which, what = np.divmod(code, len(text.dictionary))
-            seq = np.zeros(len(start) + int(new.sum()), np.int32)
-            seq[np.arange(len(start)) + np.cumsum(new)] = word + 1
+            seq = np.zeros(size + int(new.sum()), np.int32)
+            seq[np.arange(size) + np.cumsum(new)] = word + 1
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([seq.tobytes()], pa.binary()), one(roles.dictionary.take(pa.array(which))), one(text.dictionary.take(pa.array(what))), one(pa.array(n, pa.int64()))], schema=_SHARD)
+                [pa.array([seq.tobytes()], pa.binary()), one(roles.dictionary), one(pa.array(which, pa.int32())), one(text.dictionary.take(pa.array(what))), one(pa.array(n, pa.int64()))], schema=_SHARD)
 
     return run
 
@@ -210,11 +213,12 @@ def mine_phrases(
     are looked up by salted keys. Nothing is broadcast or brought to the driver.
     """
     m = messages.select(F.coalesce(messages[role], F.lit(NO_ROLE)).alias("role"), messages[text].alias("text")).where("text is not null")
-    shards = m.mapInArrow(_shards(shard_bytes), "seq binary, role array<string>, word array<string>, n array<bigint>")
+    shards = m.mapInArrow(B.tidy(_shards(shard_bytes)), "seq binary, roles array<string>, role array<int>, word array<string>, n array<bigint>")
     shards = written(shards.withColumn("shard", F.monotonically_increasing_id()), "shards")
 
     # words: summed over shards, those frequent enough numbered from the most frequent on
-    held = shards.select("shard", F.posexplode(F.arrays_zip("role", "word", "n")).alias("local", "w")).select("shard", (F.col("local") + 1).alias("local"), "w.*")
+    held = shards.select("shard", "roles", F.posexplode(F.arrays_zip("role", "word", "n")).alias("local", "w"))
+    held = held.select("shard", (F.col("local") + 1).alias("local"), F.get("roles", "w.role").alias("role"), "w.word", "w.n")
     every = held.groupBy("role", "word").agg(F.sum("n").alias("f"))
     every = written(every, "words")
     totals = every.groupBy("role").agg(F.sum("f").alias("n"))
