@@ -186,7 +186,7 @@ def mark_phrases(
 
 def _pass(m: DataFrame, patterns: list[Patterns], ids: list[int | None]) -> DataFrame:
     kind = "" if "row" not in m.columns else ", row bigint"
-    return m.mapInArrow(_mark(patterns, ids, bool(kind)), _ROW + kind)
+    return m.mapInArrow(B.tidy(_mark(patterns, ids, bool(kind))), _ROW + kind)
 
 
 def _combined(passes: list[DataFrame]) -> DataFrame:
@@ -207,7 +207,7 @@ def keep_clean(messages: DataFrame, annotations: DataFrame, window: int = WINDOW
         mark = _mark(patterns, [0] * (1 + max((int(p.items.max()) for p in patterns), default=0)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in B.slices(batches, text):
+            for b in B.slices(batches, text, 1 << 20):
                 bare = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text)], names=["message_id", "text"])
                 hit = np.concatenate([np.diff(x.column("hits").offsets.to_numpy()) > 0 for x in mark(iter([bare]))])
                 yield b.filter(pa.array(~hit))
@@ -216,7 +216,7 @@ def keep_clean(messages: DataFrame, annotations: DataFrame, window: int = WINDOW
 
     out = messages
     for patterns, _ in _blocks(annotations, window, block_bytes, item_id, noun_phrase):
-        out = out.mapInArrow(clean(patterns), messages.schema)
+        out = out.mapInArrow(B.tidy(clean(patterns)), messages.schema)
     return out
 
 

@@ -3,7 +3,8 @@
 The tokenizer drops white space and never joins characters across it, so a
 text's ids are those of its stretches between white space, each taken through
 the tokenizer's own normalizer and model. Stretches repeat, so a process keeps
-the ids of those it has met, within ``MOST_STRETCHES``.
+the ids of those it has met, within about ``MOST_BYTES``, until it turns to
+other work.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import regex
 
 from visiontables.llm.textbytes import ragged
 
-MOST_STRETCHES = 400_000
+MOST_BYTES = 128 << 20
+_ENTRY = 200  # bytes a dictionary takes for an entry besides its text
 # Fixed value: how the vocabulary's file splits normalized text.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
@@ -39,6 +41,7 @@ class Encoder:
         self.piece: dict[str, bytes] = {}
         self.stretch: dict[str, int] = {}
         self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.held = 0
 
     def _pieces(self, stretches: list[str]) -> list[list[str]]:
         plain = [s.lower() if s.isascii() else None for s in stretches]
@@ -54,11 +57,13 @@ class Encoder:
         model, known, ids, size = self.tokenizer.model, self.piece, [], []
         for s, pieces in zip(stretches, self._pieces(stretches)):
             self.stretch[s] = len(self.stretch)
+            self.held += _ENTRY + len(s)
             total = 0
             for p in pieces:
                 got = known.get(p)
                 if got is None:
                     got = known[p] = array("I", [t.id for t in model.tokenize(_bytes_shown(p))]).tobytes()
+                    self.held += _ENTRY + len(p)
                 ids.append(got)
                 total += len(got)
             size.append(total // 4)
@@ -67,7 +72,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's begin (one more at the end); ``end`` follows every text."""
-        if len(self.stretch) > MOST_STRETCHES:
+        if self.held > MOST_BYTES:
             self.forget()
         odd = [i for i, t in enumerate(texts) if t and any(x in t for x in _ODD)]
         split = [t.split() if t else [] for t in texts]
@@ -131,6 +136,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODER
 
 
+def drop() -> bool:
+    """Let go of this process's encoder, if it has one."""
+    global _ENCODER
+    had, _ENCODER = _ENCODER is not None, None
+    return had
+
+
 def crc32(ids: np.ndarray) -> int:
     """Of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))

@@ -245,11 +245,11 @@ class _Verifier:
         """Keep the sets of ``members (sig)``."""
         one = self.sets.where("sig is not null").groupBy("sig").agg(F.min("message_id").alias("message_id")).join(members, "sig", "left_semi")
         texts = self.messages.join(one.hint("shuffle_hash"), "message_id").select("sig", "text")
-        self.blobs = written(texts.mapInArrow(_blobs(self.join), "sig bigint, shingles binary").dropDuplicates(["sig"]), "shingles")
+        self.blobs = written(texts.mapInArrow(B.tidy(_blobs(self.join)), "sig bigint, shingles binary").dropDuplicates(["sig"]), "shingles")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.blobs.select(F.col("sig").alias(x), F.col("shingles").alias("x" + x))
-        probed = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_probe(self.join), "a bigint, b bigint, linked boolean")
+        probed = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(B.tidy(_probe(self.join)), "a bigint, b bigint, linked boolean")
         return written(probed, "probed")
 
 
@@ -288,18 +288,18 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
     m = narrow(messages, message_id=message_id, text=text).where(F.col("message_id").isNotNull())
     m = m.withColumn("text", F.coalesce("text", F.lit("")))
     kind = m.schema["message_id"].dataType.simpleString()
-    sets = written(m.mapInArrow(_sets(join), f"message_id {kind}, n bigint, sig bigint, sketch array<bigint>"), "sets")
+    sets = written(m.mapInArrow(B.tidy(_sets(join)), f"message_id {kind}, n bigint, sig bigint, sketch array<bigint>"), "sets")
     verifier = _Verifier(join, m, sets)
 
-    lengths = m.select("text").mapInArrow(_list_lengths(join), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    lengths = m.select("text").mapInArrow(B.tidy(_list_lengths(join)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     long = most_frequent(written(lengths.where(F.col("n") > join.long_list), "long-lists"), "n", MOST_LONG)
     known = np.sort(np.array([r[0] for r in long.select("shingle").collect()], np.int64).view(_U))
     shared = spark.sparkContext.broadcast(known)
-    postings = m.select("text").mapInArrow(_postings(join, shared), "shingle bigint, sig bigint, n bigint, left bigint")
+    postings = m.select("text").mapInArrow(B.tidy(_postings(join, shared)), "shingle bigint, sig bigint, n bigint, left bigint")
     salts = F.when(F.col("length") > SALT_ROWS, 1 + F.pmod("sig", F.ceil(F.col("length") / SALT_ROWS))).otherwise(0).cast("bigint")
     salted = postings.join(F.broadcast(long.select("shingle", F.col("n").alias("length"))), "shingle", "left").select("shingle", F.coalesce(salts, F.lit(0)).alias("salt"), "sig", "n", "left")
     lists = salted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "sig")
-    found = written(lists.select("shingle", "salt", "sig", "n", "left").mapInArrow(_merge_lists(join), "long boolean, shingle bigint, a bigint, na bigint, b bigint, nb bigint, left bigint"), "candidates")
+    found = written(lists.select("shingle", "salt", "sig", "n", "left").mapInArrow(B.tidy(_merge_lists(join)), "long boolean, shingle bigint, a bigint, na bigint, b bigint, nb bigint, left bigint"), "candidates")
     pairs = written(verifier.near(found.where("not long").select("a", "na", "b", "nb").distinct()), "near")
     rest = found.where("long").select("shingle", F.col("a").alias("sig"), F.col("na").alias("n"), "left").distinct()
     verifier.fetch(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(rest.select("sig")).distinct())

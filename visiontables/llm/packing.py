@@ -53,7 +53,7 @@ def cut_messages(messages: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     ids. Other columns are ignored.
     """
     m = narrow(messages, message_id=message_id, text=text).withColumn("message_id", F.col("message_id").cast("bigint"))
-    return m.mapInArrow(_cut(vocabulary, end, capacity), _PIECE)
+    return m.mapInArrow(B.tidy(_cut(vocabulary, end, capacity), encoder=True), _PIECE)
 
 
 def best_fit(length: np.ndarray, capacity: int) -> np.ndarray:

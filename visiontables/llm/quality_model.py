@@ -179,7 +179,7 @@ def score_quality(messages: DataFrame, model: QualityModel, message_id: str = "m
         for b in B.slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(_scores(model, b, "_text"))], names=["_id", "score"])
 
-    out = m.mapInArrow(run, T.StructType([T.StructField("_id", kind), T.StructField("score", T.DoubleType())]))
+    out = m.mapInArrow(B.tidy(run), T.StructType([T.StructField("_id", kind), T.StructField("score", T.DoubleType())]))
     return out.withColumnRenamed("_id", message_id)
 
 
@@ -187,7 +187,7 @@ def keep_quality(messages: DataFrame, model: QualityModel, least: float = 0.3, t
     """The rows of ``messages`` that score ``least`` or more, all columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in B.slices(batches, text):
+        for b in B.slices(batches, text, 1 << 20):
             yield b.filter(pa.array(_scores(model, b, text) >= least))
 
-    return messages.mapInArrow(run, messages.schema)
+    return messages.mapInArrow(B.tidy(run), messages.schema)

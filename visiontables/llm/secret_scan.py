@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visiontables.llm import textbytes as B
 from visiontables.llm.tables import narrow, written
 
 
@@ -111,7 +112,7 @@ def scan_secrets(
     todo = F.array_except(all_keys, F.coalesce("seen", F.array().cast("array<string>")))
     first = first.select(F.col("blob").alias("_blob"), F.col("message_id").alias("_id"), todo.alias("todo")).where(F.size("todo") > 0)
     unseen = m.join(first.hint("shuffle_hash"), m["message_id"].eqNullSafe(first["_id"]) & (m["blob"] == first["_blob"])).select("blob", "text", "todo")
-    fresh = unseen.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob"])
+    fresh = unseen.mapInArrow(B.tidy(_scan(rules)), LEDGER).dropDuplicates(["blob"])
     fresh = written(fresh, "secret-ledger")
     ledger = ledger.unionByName(fresh)
     rank = F.array_position(F.array(*[F.lit(r.key) for r in rules]), F.col("f.rule"))

@@ -7,6 +7,7 @@ slices of bounded bytes, however long single texts are.
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,10 +48,17 @@ def powers(n: int, step: int = _STEP) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def tidy(run):
-    """``run`` for ``mapInArrow``, giving back its memory when a task ends: workers live on, and wait, between stages."""
+def tidy(run, encoder: bool = False):
+    """``run`` for ``mapInArrow``, giving back its memory when a task ends: workers live on, and wait, between stages.
+
+    A worker keeps its tokenizer for the next task of ``encoder``s, and drops
+    it when it turns to other work.
+    """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = sys.modules.get("visiontables.llm.bpe")
+        if coder is not None and not encoder and coder.drop():
+            give_back()
         try:
             yield from run(batches)
         finally:
