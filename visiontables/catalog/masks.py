@@ -141,11 +141,11 @@ def coco_text_round_trip(t):
 
 
 @query("normalized_mask_reprs", "", f"""
-select doc_id, coalesce(case when doc_id % 3 = 0 then text end, lang) as counts,
+select doc_id, case when doc_id % 3 = 0 then text else concat('old ', text) end as counts,
  case when doc_id % 2 = 0 and doc_id % 3 = 0 then 7::bigint else {H} end as h from documents""")
 def normalized_mask_reprs(t):
     d = t.raw("documents").select(
-        "doc_id", F.col("lang").alias("text"),
+        "doc_id", F.concat(F.lit("old "), "text").alias("text"),
         F.when(F.col("doc_id") % 3 == 0, F.struct(
             F.col("text").alias("counts"),
             F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(7).cast("bigint"), F.lit(9).cast("bigint"))).alias("size"))).alias("rle"))

@@ -223,7 +223,8 @@ def tracked_objects(t):
 
 @query("tracked_both_ways")
 def tracked_both_ways(t):
-    starts = t.track_obs().groupBy("video_id").agg(F.min(F.when(F.col("score") > 0.9, F.col("frame_idx"))).alias("start")).where("start is not null")
+    sure = F.min(F.when(F.col("score") > 0.9, F.col("frame_idx")))
+    starts = t.track_obs().groupBy("video_id").agg(F.coalesce(sure, F.min("frame_idx")).alias("start"))
     return bidirectional(t.track_obs(), starts, _CONFIG)
 
 
@@ -268,7 +269,7 @@ def streamed_tracks(t):
     import uuid
 
     from visiontables.session import shared_folder
-    from visiontables.streaming.lifecycle import track_stream, use_rocksdb
+    from visiontables.streaming.lifecycle import frame_stream, track_stream, use_rocksdb
 
     spark = t.spark
     use_rocksdb(spark)
@@ -277,8 +278,8 @@ def streamed_tracks(t):
     ends = obs.groupBy("video_id").agg((F.max("frame_idx") + 1).alias("frame_idx")).withColumn("end_of_video", F.lit(True))
     obs.write.parquet(folder + "/in/part=0")
     obs.limit(0).unionByName(ends, allowMissingColumns=True).write.parquet(folder + "/in/part=1")
-    rows = spark.readStream.schema(obs.schema).option("recursiveFileLookup", True).parquet(folder + "/in")
+    rows = frame_stream(spark, folder + "/in", obs.schema, files_per_batch=1)
     q = (track_stream(rows, _CONFIG).writeStream.outputMode("update").option("checkpointLocation", folder + "/state")
          .trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start())
     q.awaitTermination()
-    return spark.read.parquet(folder + "/out").drop("batch")
+    return spark.read.parquet(folder + "/out").where("not late").drop("batch", "late")

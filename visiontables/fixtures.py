@@ -136,8 +136,8 @@ class Tables:
         )
 
     def pixels(self) -> DataFrame:
-        g = self.images().selectExpr("image_id", f"explode(sequence(0L, {MASK_W - 2}L, 2L)) as x")
-        g = g.selectExpr("image_id", "x", f"explode(sequence(0L, {MASK_H - 2}L, 2L)) as y")
+        g = self.images().selectExpr("image_id", f"explode(sequence(0L, {MASK_W - 1}L)) as x")
+        g = g.selectExpr("image_id", "x", f"explode(sequence(0L, {MASK_H - 1}L)) as y")
         return g.selectExpr(*_PIXEL)
 
     def track_obs(self) -> DataFrame:
@@ -186,8 +186,8 @@ def _duck_tables() -> dict[str, str]:
     )
     images = f"select distinct {_sel(_IMAGES)} from lineitem"
     pixels = (
-        f"select {', '.join(_PIXEL)} from (select image_id, x, unnest(range(0, {MASK_H}, 2)) as y from"
-        f" (select image_id, unnest(range(0, {MASK_W}, 2)) as x from ({images}) i0) i1) i2"
+        f"select {', '.join(_PIXEL)} from (select image_id, x, unnest(range(0, {MASK_H})) as y from"
+        f" (select image_id, unnest(range(0, {MASK_W})) as x from ({images}) i0) i1) i2"
     )
     return {
         "detections": det,

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -68,7 +68,7 @@ class Track:
     streak: int = 0
     confirmed: bool = False
     occluded: int = NEVER
-    shared: dict[str, int] = field(default_factory=dict)
+    shared: dict[int, int] = field(default_factory=dict)
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,55 +85,59 @@ class VideoTracker:
     def __init__(self, config: TrackerConfig, state: str | None = None):
         self.config = config
         s = json.loads(state) if state else {}
+        by_frame = lambda name: {int(k): v for k, v in s.get(name, {}).items()}
         self.frame = s.get("frame", -1)
         self.top = s.get("top", 0)
         self.late = s.get("late", 0)
-        self.tracks = [Track(**t) for t in s.get("tracks", [])]
-        # frames held back: [frame, rows, ids hidden on this frame only]
-        self.held = s.get("held", [])
-        # ids unconfirmed on a frame, kept while a held frame may look ahead to it
-        self.unconfirmed = {int(k): v for k, v in s.get("unconfirmed", {}).items()}
-        # the newest frame may still be incomplete
-        self.pending = s.get("pending", [])
+        self.tracks = [Track(**{**t, "shared": {int(k): n for k, n in t["shared"].items()}}) for t in s.get("tracks", [])]
+        # dictionaries by frame: rows still coming in, rows held back with the ids hidden on that frame
+        # only, and ids unconfirmed, kept while a held frame may look ahead to them
+        self.coming, self.held, self.unsure = by_frame("coming"), by_frame("held"), by_frame("unsure")
+        # objects dropped while frames that show them are held
+        self.dropped = by_frame("dropped")
 
     def dump(self) -> str:
         return json.dumps({
             "frame": self.frame, "top": self.top, "late": self.late, "tracks": [asdict(t) for t in self.tracks],
-            "held": self.held, "unconfirmed": self.unconfirmed, "pending": self.pending})
+            "coming": dict(self.coming), "held": dict(self.held), "unsure": dict(self.unsure), "dropped": dict(self.dropped)})
 
     # ---- input --------------------------------------------------------------------------
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        """Keep rows (frame, det_id, x1, y1, x2, y2, score), det_id NULL for an
+        empty frame, until their frame runs. Returns the detections that are
+        late: their frame has run."""
+        new: dict[int, list] = {}
+        late = []
+        for r in rows:
+            if r[0] > self.frame:
+                new.setdefault(r[0], []).append(r)
+            else:
+                self.late += 1
+                if r[1] is not None:
+                    late.append(r)
+        for f, some in new.items():
+            self.coming[f] = [*self.coming.get(f, []), *some]
+        return late
+
+    def run(self, ended: bool) -> Iterator[list[tuple]]:
+        """What leaves the buffer as frames run, in order. Frames are those
+        with a row; one runs once a later one shows up, or the video has ended."""
+        ready = sorted(self.coming)
+        for f in ready if ended else ready[:-1]:
+            rows = sorted((r for r in self.coming[f] if r[1] is not None), key=lambda r: r[1])
+            del self.coming[f]
+            yield self.step(f, rows)
+        if ended:
+            last = self.frame
+            for f in sorted(self.held):
+                yield self.show(f, last)
+
     def feed(self, rows: list[tuple]) -> list[tuple]:
-        """Rows (frame, det_id, x1, y1, x2, y2, score), det_id NULL for an empty
-        frame. Frames are those with a row. A frame runs once a later one shows
-        up; a row of a frame that has run is late and only counted."""
-        out: list[tuple] = []
-        self.pending += [list(r) for r in rows if r[0] > self.frame]
-        self.late += sum(r[0] <= self.frame for r in rows)
-        if not self.pending:
-            return out
-        self.pending.sort(key=lambda r: (r[0], -1 if r[1] is None else r[1]))
-        newest = self.pending[-1][0]
-        ready: dict[int, list] = {}
-        for r in self.pending:
-            if r[0] < newest:
-                ready.setdefault(r[0], []).append(r)
-        self.pending = [r for r in self.pending if r[0] == newest]
-        for f in sorted(ready):
-            out += self.step(f, [r for r in ready[f] if r[1] is not None])
-        return out
+        self.take(rows)
+        return [r for some in self.run(False) for r in some]
 
     def finish(self) -> list[tuple]:
-        """Run what is pending as the last frame and let all held frames go."""
-        out: list[tuple] = []
-        if self.pending:
-            rows = [r for r in self.pending if r[1] is not None]
-            frame, self.pending = self.pending[0][0], []
-            out += self.step(frame, rows)
-        last = self.frame
-        for f, rows, hidden in self.held:
-            out += self.show(f, rows, hidden, last)
-        self.held = []
-        return out
+        return [r for some in self.run(True) for r in some]
 
     # ---- one frame ---------------------------------------------------------------------------
     def step(self, f: int, rows: list) -> list[tuple]:
@@ -178,24 +182,28 @@ class VideoTracker:
         shown = [[t.obj_id, *t.box, t.score, t.tracker_score, t.confirmed] for t in self.tracks
                  if t.box[2] > t.box[0] and t.box[3] > t.box[1] and t.occluded != f]
         if c.confirm is not None:
-            self.unconfirmed[f] = [t.obj_id for t in self.tracks if not t.confirmed]
+            self.unsure[f] = [t.obj_id for t in self.tracks if not t.confirmed]
         if c.delay <= 0:
             return [(f, *r) for r in shown if r[0] not in faded]
-        self.held.append([f, shown, sorted(faded)])
         # an object dropped now disappears from every frame still held
-        for h in self.held:
-            h[1] = [r for r in h[1] if r[0] not in removed]
+        for i in removed:
+            self.dropped[i] = f
+        self.held[f] = [shown, sorted(faded)]
         if len(self.held) < c.delay:
             return []
-        oldest, *self.held = self.held
-        return self.show(*oldest, f)
+        return self.show(min(self.held), f)
 
-    def show(self, f: int, rows: list, hidden: list, last: int) -> list[tuple]:
+    def show(self, f: int, last: int) -> list[tuple]:
         c = self.config
-        gone = set(hidden)
+        rows, hidden = self.held[f]
+        del self.held[f]
+        gone = {*hidden, *self.dropped}
+        for i in [i for i, g in self.dropped.items() if g <= f]:
+            del self.dropped[i]
         if c.confirm is not None:
-            gone |= set(self.unconfirmed.get(min(f + c.confirm - 1, last), ()))
-            self.unconfirmed = {k: v for k, v in self.unconfirmed.items() if k >= f}
+            gone |= set(self.unsure.get(min(f + c.confirm - 1, last), ()))
+            for k in [k for k in self.unsure if k < f]:
+                del self.unsure[k]
         return [(f, *r) for r in rows if r[0] not in gone]
 
     def admit(self, new: np.ndarray, boxes: np.ndarray, scores: np.ndarray, used: int) -> list[int]:
@@ -217,7 +225,7 @@ class VideoTracker:
                 first = min(sharing, key=lambda t: t.first)
                 for t in sharing:
                     if t is not first:
-                        t.shared[str(first.obj_id)] = t.shared.get(str(first.obj_id), 0) + 1
+                        t.shared[first.obj_id] = t.shared.get(first.obj_id, 0) + 1
         return {t.obj_id for t in live if t.obj_id not in removed and t.first > f - self.config.delay
                 and any(n >= self.config.duplicates for n in t.shared.values())}
 
@@ -266,43 +274,172 @@ def track_batch(dets: DataFrame, config: TrackerConfig = TrackerConfig()) -> Dat
     return ordered.mapInPandas(run, OUTPUT)
 
 
+_META = "frame bigint, top bigint, late bigint"
+_TRACK = ("x1 double, y1 double, x2 double, y2 double, score double, first bigint, tracker_score double,"
+          " misses bigint, alive bigint, streak bigint, confirmed boolean, occluded bigint")
+_ROWS = "rows array<struct<obj_id:bigint,x1:double,y1:double,x2:double,y2:double,prob:double,tracker_prob:double,confirmed:boolean>>, hidden array<bigint>"
+_DETS = "rows array<struct<frame_idx:bigint,det_id:bigint,x1:double,y1:double,x2:double,y2:double,score:double>>"
+
+
+class _Kept(MutableMapping):
+    """A map state as a dictionary: entries are read when asked for, and only those that changed are written back."""
+
+    def __init__(self, state, load, store):
+        self.state, self.load, self.store = state, load, store
+        self.read: dict = {}
+        self.changed: set = set()
+        self.names: set = {k[0] for k in state.keys()}
+
+    def __getitem__(self, key):
+        if key not in self.names:
+            raise KeyError(key)
+        if key not in self.read:
+            self.read[key] = self.load(self.state.getValue((key,)))
+        return self.read[key]
+
+    def __setitem__(self, key, value) -> None:
+        self.names.add(key)
+        self.read[key] = value
+        self.changed.add(key)
+
+    def __delitem__(self, key) -> None:
+        self.names.remove(key)
+        self.read.pop(key, None)
+        self.changed.add(key)
+
+    def __iter__(self):
+        return iter(sorted(self.names))
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def flush(self) -> int:
+        for key in self.changed:
+            if key in self.names:
+                self.state.updateValue((key,), self.store(self.read[key]))
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+        return len(self.changed)
+
+
 class _Lifecycle(StatefulProcessor):
-    def __init__(self, config: TrackerConfig):
-        self.config = config
+    """One video's state: an entry per object, per held frame, and per frame still coming in."""
+
+    def __init__(self, config: TrackerConfig, idle: int | None, ttl: int | None):
+        self.config, self.idle, self.ttl = config, idle, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracker", "state string")
+        self.handle = handle
+        by = lambda name, key, value: handle.getMapState(name, f"{key} bigint", value, self.ttl)
+        self.meta = handle.getValueState("meta", _META, self.ttl)
+        self.maps = {
+            "objects": by("objects", "obj_id", _TRACK), "shared": by("shared", "obj_id", "leads array<struct<lead:bigint,n:bigint>>"), "held": by("held", "frame_idx", _ROWS),
+            "coming": by("coming", "frame_idx", _DETS), "dropped": by("dropped", "obj_id", "frame bigint"), "unsure": by("unsure", "frame_idx", "ids array<bigint>")}
+
+    def _open(self) -> tuple[VideoTracker, dict[str, _Kept]]:
+        one = (lambda v: v[0]), (lambda v: (v,))
+        codecs = {
+            "objects": (tuple, tuple), "shared": (lambda v: {r[0]: r[1] for r in v[0]}, lambda v: (list(v.items()),)), "held": (lambda v: [[tuple(r) for r in v[0]], list(v[1])], lambda v: ([tuple(r) for r in v[0]], list(v[1]))),
+            "coming": (lambda v: [tuple(r) for r in v[0]], lambda v: (v,)), "dropped": one, "unsure": (lambda v: list(v[0]), lambda v: (list(v),))}
+        kept = {n: _Kept(s, *codecs[n]) for n, s in self.maps.items()}
+        tracker = VideoTracker(self.config)
+        if self.meta.exists():
+            tracker.frame, tracker.top, tracker.late = self.meta.get()
+        tracker.tracks = [Track(i, list(v[:4]), *v[4:], shared=dict(kept["shared"].get(i, {}))) for i, v in sorted(kept["objects"].items(), key=lambda x: (x[1][5], abs(x[0])))]
+        tracker.held, tracker.coming, tracker.dropped, tracker.unsure = (kept[n] for n in ("held", "coming", "dropped", "unsure"))
+        return tracker, kept
+
+    def _close(self, tracker: VideoTracker, kept: dict[str, _Kept]) -> None:
+        live = {t.obj_id: t for t in tracker.tracks}
+        for i in [i for i in kept["objects"] if i not in live]:
+            del kept["objects"][i]
+        for i in [i for i in kept["shared"] if i not in live]:
+            del kept["shared"][i]
+        for i, t in live.items():
+            now = (*t.box, t.score, t.first, t.tracker_score, t.misses, t.alive, t.streak, t.confirmed, t.occluded)
+            if kept["objects"].get(i) != now:
+                kept["objects"][i] = now
+            if t.shared and kept["shared"].get(i) != t.shared:
+                kept["shared"][i] = dict(t.shared)
+        for k in kept.values():
+            k.flush()
+        self.meta.update((tracker.frame, tracker.top, tracker.late))
+
+    def _forget(self) -> None:
+        self.meta.clear()
+        for s in self.maps.values():
+            s.clear()
+
+    def _wait(self, timerValues) -> None:
+        if self.idle is None:
+            return
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if timerValues is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        tracker = VideoTracker(self.config, self.state.get()[0] if self.state.exists() else None)
-        parts = list(rows)
-        ended = any(p["end_of_video"].any() for p in parts)
-        fed = [r for p in parts for r in _rows(p[~p["end_of_video"]])]
-        out = tracker.feed(fed)
+        tracker, kept = self._open()
+        ended = False
+        for pdf in rows:
+            ended = ended or bool(pdf["end_of_video"].any())
+            late = tracker.take(_rows(pdf[~pdf["end_of_video"]]))
+            if late:
+                yield _late_out(key[0], late)
+        for some in tracker.run(ended):
+            yield _stream_out(key[0], some)
         if ended:
-            out += tracker.finish()
-            self.state.clear()
+            self._forget()
+            self._wait(None)
         else:
-            self.state.update((tracker.dump(),))
-        yield _frame_out(key[0], out)
+            self._close(tracker, kept)
+            self._wait(timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tracker, _ = self._open()
+        for some in tracker.run(True):
+            yield _stream_out(key[0], some)
+        self._forget()
 
     def close(self) -> None:
         pass
 
 
-def frame_stream(spark, path: str, schema: str, files_per_batch: int = 64) -> DataFrame:
-    """Detection rows as they arrive as Parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def _stream_out(video, rows: list[tuple]) -> pd.DataFrame:
+    return _frame_out(video, rows).assign(late=False)
+
 
+def _late_out(video, rows: list[tuple]) -> pd.DataFrame:
+    """Detections of frames that have run: without object, the score as probability."""
+    return pd.DataFrame([(video, f, None, *box, s, None, None, True) for f, _, *box, s in rows], columns=[*_NAMES, "late"])
 
-def track_stream(dets: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
+
+def frame_stream(spark, path: str, schema, files_per_batch: int = 64) -> DataFrame:
+    """Detection rows as they arrive as Parquet files in ``path`` and the folders in it."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(path)
+
+
+def track_stream(dets: DataFrame, config: TrackerConfig = TrackerConfig(), idle: int | None = None, ttl: int | None = None) -> DataFrame:
     """The same over a stream; a row with ``end_of_video`` closes its video.
 
+    With ``idle``, a video without such a row is closed once no row of it has
+    come for so many milliseconds. State is dropped when a video closes; ``ttl``
+    (milliseconds) lets entries go that were not written for so long, whatever
+    happens. Both go by the clock, so they are for streams that run on: a
+    stream that is to end with its input (``availableNow``) would wait for the
+    clock for ever. A micro-batch reads and writes the entries it changes: live
+    objects, the frames coming in and those leaving the buffer, not the whole
+    video.
+
+    Adds ``late``: a detection of a frame that has run comes out as a row with
+    ``late`` true, its box and score, and no object.
+
     Needs the RocksDB state store (``use_rocksdb``).
     """
     rows = dets.select("video_id", *_FEED, F.coalesce("end_of_video", F.lit(False)).alias("end_of_video"))
     return rows.groupBy("video_id").transformWithStateInPandas(
-        statefulProcessor=_Lifecycle(config), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+        statefulProcessor=_Lifecycle(config, idle, ttl), outputStructType=OUTPUT + ", late boolean", outputMode="Update",
+        timeMode="None" if idle is None and ttl is None else "ProcessingTime")
 
 
 def use_rocksdb(spark) -> None:
