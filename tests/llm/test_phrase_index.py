@@ -90,7 +90,7 @@ def test_products_pass_64_bits(spark, monkeypatch):
         def run(batches):
             for b in plain_run(batches):
                 n = b.column("n")
-                yield b.set_column(3, b.schema.field("n"), pa.ListArray.from_arrays(n.offsets, pa.array(n.values.to_numpy() * big)))
+                yield b.set_column(b.schema.get_field_index("n"), b.schema.field("n"), pa.ListArray.from_arrays(n.offsets, pa.array(n.values.to_numpy() * big)))
 
         return run
 

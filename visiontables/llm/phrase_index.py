@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,14 +172,13 @@ _TRIPLES = pa.schema([(c, pa.int64()) for c in ("g1", "g2", "g3", "n")])
 
 
 def _triples(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """``known`` holds the shard's frequent words (``g1`` null) and its frequent pairs."""
-    words = known.filter(pc.is_null(known.column("g1")))
-    pairs = known.filter(pc.is_valid(known.column("g1")))
+    """``known`` holds the shard's frequent words (local id, id) and its frequent pairs (first id less than 0, second)."""
+    is_word = pc.greater(known.column("x"), 0)
+    words, pairs = known.filter(is_word), known.filter(pc.invert(is_word))
     if not (len(shard) and len(words) and len(pairs)):
         return _TRIPLES.empty_table()
-    seq, gid = _frequent(shard, words)
-    local = lambda c: np.searchsorted(gid, pairs.column(c).to_numpy())
-    a, b, c, n = ShardIndex(seq).triples(local("g1"), local("g2"))
+    seq, gid = _frequent(shard, words.rename_columns(["shard", "local", "gid"]))
+    a, b, c, n = ShardIndex(seq).triples(np.searchsorted(gid, -pairs.column("x").to_numpy()), np.searchsorted(gid, pairs.column("y").to_numpy()))
     return pa.table([gid[a], gid[b], gid[c], n], schema=_TRIPLES)
 
 
@@ -229,14 +229,18 @@ def mine_phrases(
     # pairs: counted per shard, kept where frequent over all
     sequences = shards.select("shard", "seq")
     pairs = sequences.groupBy("shard").cogroup(local.groupBy("shard")).applyInArrow(_pairs, _ddl(_PAIRS))
-    found = pairs.withColumn("a", F.sum("n").over(Window.partitionBy("g1", "g2"))).where(F.col("a") >= least)
-    found = written(found.select("g1", "g2", "shard", "a"), "pairs")
+    # one number per pair: rows sort by it alone
+    base = words.count() + 1
+    wide = "bigint" if base < 1 << 31 else "decimal(38,0)"
+    number = (F.col("g1").cast(wide) * F.lit(base).cast(wide) + F.col("g2")).cast(wide)
+    found = pairs.select(number.alias("pair"), "shard", "n").withColumn("a", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("a") >= least)
+    ends = [F.call_function("div", F.col("pair"), F.lit(base).cast(wide)).alias("g1"), (F.col("pair") % F.lit(base).cast(wide)).cast("bigint").alias("g2")]
+    found = written(found.select(*ends, "shard", "a"), "pairs")
     pair = found.groupBy("g1", "g2").agg(F.first("a").alias("a"))
 
     # triples: extensions of those pairs
-    none = F.lit(None).cast("bigint")
-    known = local.select("shard", "local", "gid", none.alias("g1"), none.alias("g2")).unionByName(
-        found.select("shard", none.alias("local"), none.alias("gid"), "g1", "g2"))
+    known = local.select("shard", F.col("local").cast("bigint").alias("x"), F.col("gid").alias("y")).unionByName(
+        found.select("shard", (-F.col("g1")).alias("x"), F.col("g2").alias("y")))
     triples = sequences.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_triples, _ddl(_TRIPLES))
     triple = written(triples.groupBy("g1", "g2", "g3").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "triples")
 
@@ -255,9 +259,10 @@ def mine_phrases(
     three = looked(looked(looked(three, "g1", "1"), "g2", "2"), "g3", "3")
     three = three.select(F.col("role1").alias("role"), F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.array(
         F.struct(F.col("f1").alias("l"), F.col("f23").alias("r")), F.struct(F.col("f12").alias("l"), F.col("f3").alias("r"))).alias("cuts"))
-    wide = lambda c: c.cast("decimal(38,0)")
-    score = lambda x: (wide(F.lit(1_000_000)) * wide(F.col("a")) * wide(F.col("a"))).cast("decimal(38,0)"), lambda x: (wide(x["l"]) * wide(x["r"])).cast("decimal(38,0)")
-    scored = F.transform("cuts", lambda x, k: F.struct(F.call_function("div", score[0](x), score[1](x)).alias("score"), k.alias("k"), x["l"].alias("l"), x["r"].alias("r")))
+    exact = lambda c: c.cast("decimal(38,0)")
+    product = lambda *cs: functools.reduce(lambda x, y: x * y, map(exact, cs)).cast("decimal(38,0)")
+    score = lambda x: F.call_function("div", product(F.lit(1_000_000), F.col("a"), F.col("a")), product(x["l"], x["r"]))
+    scored = F.transform("cuts", lambda x, k: F.struct(score(x).alias("score"), k.alias("k"), x["l"].alias("l"), x["r"].alias("r")))
     rated = two.unionByName(three).select("role", "phrase", "a", F.array_min(scored).alias("cut"))
     rated = rated.select("role", "phrase", "a", "cut.l", "cut.r", "cut.score")
     by = [F.desc("score"), F.desc("a"), F.asc("phrase")]
