@@ -104,6 +104,20 @@ def select_relative(dets: DataFrame, relation: str, refs: DataFrame, diagonal: C
         (F.col(f"a.{key}") == F.col(f"b.{key}")) & (dist > F.col("_d")), "left_semi").select(*dets.columns)
 
 
+def unknown_references(dets: DataFrame, refs: DataFrame, key: str = "image_id", row: str = "det_id") -> DataFrame:
+    """References that name no row of their image, with what is wrong; an image with one has no valid answer.
+
+    ``select_relative`` passes over them. References are matched from the side
+    of the (few) references; nothing but their own rows is read of ``dets``.
+    """
+    ids = refs.select(key, row).distinct()
+    known = dets.select(key, row).join(ids, [key, row], "left_semi").distinct().withColumn("_known", F.lit(True))
+    sizes = dets.join(ids.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    lost = ids.join(known, [key, row], "left").where(F.col("_known").isNull()).drop("_known").join(sizes, key, "left")
+    rows = F.coalesce("rows", F.lit(0).cast("bigint"))
+    return lost.select(key, row, rows.alias("rows"), F.format_string("reference %s is none of %s rows", F.coalesce(F.col(row).cast("string"), F.lit("null")), rows.cast("string")).alias("error"))
+
+
 def outermost(ref: DataFrame, key: str) -> DataFrame:
     """References that can be the farthest from some point: for one x only the
     lowest and highest y count, and the same the other way round."""
