@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from visiontables.llm import textbytes as B
 from visiontables.llm.links import components
-from visiontables.llm.tables import most_frequent, narrow, written
+from visiontables.llm.tables import discard, most_frequent, narrow, written
 from visiontables.session import is_empty
 
 _U = np.uint64
@@ -168,8 +168,11 @@ def _merge_lists(join: Join):
     return run
 
 
-def _cross(join: Join):
-    """Pairs of two blocks of a list that are in different groups and may still link, by positions and sketches."""
+def _cross(join: Join, every: bool):
+    """Pairs of two blocks of a list that are in different groups and may still link, by positions and sketches.
+
+    Of each member the likeliest pair only, unless ``every`` is asked for.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sig, n, left, label, block = (table.column(c).to_numpy() for c in ("sig", "n", "left", "label", "block"))
@@ -179,17 +182,26 @@ def _cross(join: Join):
         one, two = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
         out: list[list] = [[], []]
         for lo in range(0, len(one), 1024):
+            x = one[lo : lo + 1024]
+            best, partner = np.full(len(x), np.inf), np.full(len(x), -1)
             for to in range(0, len(two), 1024):
-                x, y = one[lo : lo + 1024], two[to : to + 1024]
+                y = two[to : to + 1024]
                 both = n[x][:, None] + n[y]
                 need = -(-join.percent * both // (100 + join.percent))
                 differ = ones[x][:, None] + ones[y] - 2 * (bits[x] @ bits[y].T)
                 ok = (differ <= both - 2 * need) & (label[x][:, None] != label[y]) & (np.minimum(left[x][:, None], left[y]) >= need)
-                if key[1] == key[2]:
-                    ok &= sig[x][:, None] < sig[y]
-                i, j = np.nonzero(ok)
-                out[0].append(x[i]), out[1].append(y[j])
-        i, j = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+                if every:
+                    if key[1] == key[2]:
+                        ok &= sig[x][:, None] < sig[y]
+                    i, j = np.nonzero(ok)
+                    out[0].append(x[i]), out[1].append(y[j])
+                    continue
+                worth = np.where(ok, differ / np.maximum(both - 2 * need, 1), np.inf)
+                j = worth.argmin(axis=1)
+                nearer = worth[np.arange(len(x)), j] < best
+                best[nearer], partner[nearer] = worth[np.arange(len(x)), j][nearer], y[j[nearer]]
+            out[0].append(x[partner >= 0]), out[1].append(partner[partner >= 0])
+        i, j = (np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out)
         return pa.table({"a": sig[i], "na": n[i], "b": sig[j], "nb": n[j]})
 
     return run
@@ -253,7 +265,7 @@ class _Verifier:
         return written(probed, "probed")
 
 
-def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2, message_id: str = "message_id", text: str = "text") -> DataFrame:
+def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2, near_rounds: int = 3, message_id: str = "message_id", text: str = "text") -> DataFrame:
     """Groups of messages whose word shingles are similar, directly or by way of others.
 
     A-Z is taken in lower case; words end at ASCII white space. A message's set
@@ -277,8 +289,11 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
       the required overlap; for the others, the whole sets are intersected by
       binary search.
     * In lists that are long all the same, members are first compared with one
-      of them (a hub), ``hub_rounds`` times with another hub; only members
-      that are not yet in one group are then compared with each other.
+      of them (a hub), ``hub_rounds`` times with another hub. Members that are
+      not yet in one group are then compared with each other by sketches, block
+      by block: ``near_rounds`` times each with its likeliest partner in
+      another group, which at least halves the groups that hold together; at
+      last all pairs of members still in different groups are verified.
 
     Copies of one set count once. Long lists are salted by their counted
     length, so no list, however common, is gathered in one task; all members
@@ -301,13 +316,19 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
     lists = salted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "sig")
     found = written(lists.select("shingle", "salt", "sig", "n", "left").mapInArrow(B.tidy(_merge_lists(join)), "long boolean, shingle bigint, a bigint, na bigint, b bigint, nb bigint, left bigint"), "candidates")
     pairs = written(verifier.near(found.where("not long").select("a", "na", "b", "nb").distinct()), "near")
-    rest = found.where("long").select("shingle", F.col("a").alias("sig"), F.col("na").alias("n"), "left").distinct()
+    rest = written(found.where("long").select("shingle", F.col("a").alias("sig"), F.col("na").alias("n"), "left").distinct(), "members")
+    discard(found)
     verifier.fetch(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(rest.select("sig")).distinct())
     probed = verifier.links(pairs)
 
+    discard(pairs)
+    lists: DataFrame | None = None
+
     def labelled() -> DataFrame:
         groups = components(probed.where("linked"))
-        return written(rest.join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("shingle", "sig", "n", "left", F.coalesce("component", "sig").alias("label")), "long-lists")
+        now = written(rest.join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("shingle", "sig", "n", "left", F.coalesce("component", "sig").alias("label")), "long-lists")
+        discard(*([] if lists is None else [lists]), *([groups] if hasattr(groups, "_step") else []))
+        return now
 
     def fits(x: str, y: str):
         return 100 * F.least(x, y) >= join.percent * F.greatest(x, y)
@@ -323,17 +344,24 @@ def join_messages(messages: DataFrame, join: Join = Join(), hub_rounds: int = 2,
         for k in range(hub_rounds):
             lists = labelled()
             band = F.floor(F.log(F.col("n")) / np.log(100 / join.percent) + F.lit(0.5 * (k % 2)))
-            lists = lists.withColumn("band", band)
-            hub = lists.groupBy("shingle", "band").agg(F.min_by(F.struct("sig", "n", "label"), F.xxhash64("sig", F.lit(k))).alias("hub"))
-            near = lists.join(hub, ["shingle", "band"]).where((F.col("label") != F.col("hub.label")) & fits("n", "hub.n"))
+            banded = lists.withColumn("band", band)
+            hub = banded.groupBy("shingle", "band").agg(F.min_by(F.struct("sig", "n", "label"), F.xxhash64("sig", F.lit(k))).alias("hub"))
+            near = banded.join(hub, ["shingle", "band"]).where((F.col("label") != F.col("hub.label")) & fits("n", "hub.n"))
             probed = compare(near.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("hub.sig").alias("b"), F.col("hub.n").alias("nb")))
-        lists = labelled()
-        mixed = lists.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")).where("l <> h").select("shingle", "blocks")
-        block = F.pmod("sig", F.col("blocks")).alias("block")
-        dealt = lists.join(mixed, "shingle").join(verifier.sketches, "sig").select("shingle", block, "sig", "n", "left", "label", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        dealt = dealt.withColumns({"i": F.least("block", "with").cast("bigint"), "j": F.greatest("block", "with").cast("bigint")}).drop("with")
-        cross = dealt.groupBy("shingle", "i", "j").applyInArrow(_cross(join), "a bigint, na bigint, b bigint, nb bigint")
-        probed = compare(cross)
+        for k in range(near_rounds + 1):
+            lists = labelled()
+            mixed = lists.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")).where("l <> h").select("shingle", "blocks")
+            block = F.pmod("sig", F.col("blocks")).alias("block")
+            dealt = lists.join(mixed, "shingle").join(verifier.sketches, "sig").select("shingle", block, "sig", "n", "left", "label", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+            dealt = dealt.withColumns({"i": F.least("block", "with").cast("bigint"), "j": F.greatest("block", "with").cast("bigint")}).drop("with")
+            cross = dealt.groupBy("shingle", "i", "j").applyInArrow(_cross(join, k == near_rounds), "a bigint, na bigint, b bigint, nb bigint")
+            cross = written(cross.distinct(), "near")
+            done = is_empty(cross)
+            probed = probed if done else compare(cross)
+            discard(cross)
+            if done:
+                break
+        discard(lists)
 
     groups = components(probed.where("linked"))
     smallest = sets.where("sig is not null").groupBy("sig").agg(F.min("message_id").alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visiontables.llm.tables import written
+from visiontables.llm.tables import discard, written
 from visiontables.session import is_empty
 
 
@@ -26,11 +26,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rounds.append(point)
         left, right = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         moved = edges.join(left, "u").join(right, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
-        edges = written(moved.where("u < v").distinct(), "links")
+        before, edges = edges, written(moved.where("u < v").distinct(), "links")
+        discard(before)
     if not rounds:
         return edges.select(F.col("u").alias("id"), F.col("u").alias("component"))
     labels = rounds[0].select(F.col("u").alias("id"), F.col("p").alias("component"))
     for point in rounds[1:]:
         ends = point.select(F.col("u").alias("component"), F.col("p").alias("_p"))
         labels = labels.join(ends, "component", "left").select("id", F.coalesce("_p", "component").alias("component"))
+    labels = written(labels, "components")
+    discard(edges, *rounds)
     return labels

@@ -18,7 +18,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for df in steps:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._step)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
