@@ -336,6 +336,26 @@ def test_repeats_of_nothing(spark):
     assert repeated_spans.remove_repeats(messages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_texts_of_one_id_are_cut_apart(spark, kind):
+    """Repeats of one text of an id are not cut from its other texts, nor do texts of one id count as earlier."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, other = word(120), word(90)
+    rows = [(1, passage), (5, passage + "tail one"), (5, word(124)), (5, "x" + passage), (5, other), (5, other + "more"), (7, other), (7, other), (9, None)]
+    name = (lambda i: i) if kind == "bigint" else (lambda i: f"message {i}")
+    df = spark.createDataFrame([(name(i), t) for i, t in rows], f"message_id {kind}, text string")
+    want = []
+    for i, t in rows:
+        data = (t or "").encode()
+        earlier = [(x or "").encode() for j, x in rows if j < i]
+        gone = [any(data[k : k + 50] in x for x in earlier) for k in range(max(0, len(data) - 49))]
+        cut = [any(gone[max(0, k - 49) : k + 1]) for k in range(len(data))]
+        want.append((name(i), bytes(c for c, g in zip(data, cut) if not g)))
+    got = [(r["message_id"], bytes(r["kept"])) for r in repeated_spans.remove_repeats(df.repartition(3)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_merged_transform_finds_all_repeats():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 30))) for _ in range(40)]
