@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visiontables.llm import textbytes as B
-from visiontables.llm.tables import salted_lookup, written
+from visiontables.llm.tables import discard, salted_lookup, written
 from visiontables.operators.numbering import position_in_order
 
 LEAST = 10
@@ -143,14 +144,24 @@ def _shards(most: int):
             seq[np.arange(size) + np.cumsum(new)] = word + 1
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([seq.tobytes()], pa.binary()), one(roles.dictionary), one(pa.array(which, pa.int32())), one(text.dictionary.take(pa.array(what))), one(pa.array(n, pa.int64()))], schema=_SHARD)
+                [pa.array([_squeezed(seq)], pa.binary()), one(roles.dictionary), one(pa.array(which, pa.int32())), one(text.dictionary.take(pa.array(what))), one(pa.array(n, pa.int64()))], schema=_SHARD)
 
     return run
 
 
+def _squeezed(seq: np.ndarray) -> bytes:
+    """A sequence with the bytes of all numbers' same places side by side, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(seq.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _sequence(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
+
+
 def _frequent(shard: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The shard's sequence over its frequent words, numbered by their ids, and those ids; rare words part pieces."""
-    seq = np.frombuffer(shard.column("seq")[0].as_py(), np.int32)
+    seq = _sequence(shard.column("seq")[0].as_py())
     local, gid = (words.column(c).to_numpy() for c in ("local", "gid"))
     gid_sorted = np.unique(gid)
     number = np.zeros(int(seq.max()) + 2, np.int64)
@@ -221,9 +232,10 @@ def mine_phrases(
     held = held.select("shard", (F.col("local") + 1).alias("local"), F.get("roles", "w.role").alias("role"), "w.word", "w.n")
     every = held.groupBy("role", "word").agg(F.sum("n").alias("f"))
     every = written(every, "words")
-    totals = every.groupBy("role").agg(F.sum("f").alias("n"))
+    totals = written(every.groupBy("role").agg(F.sum("f").alias("n")), "totals")
     words = position_in_order(every.where(F.col("f") >= least), [], [F.desc("f"), F.asc("role"), F.asc("word")], "gid")
     words = written(words.select("gid", "role", "word", "f"), "frequent-words")
+    discard(every)
     local = written(held.select("shard", "local", "role", "word").join(words.select("role", "word", "gid"), ["role", "word"]).select("shard", "local", "gid"), "shard-words")
 
     # pairs: counted per shard, kept where frequent over all
@@ -236,17 +248,17 @@ def mine_phrases(
     found = pairs.select(number.alias("pair"), "shard", "n").withColumn("a", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("a") >= least)
     ends = [F.call_function("div", F.col("pair"), F.lit(base).cast(wide)).alias("g1"), (F.col("pair") % F.lit(base).cast(wide)).cast("bigint").alias("g2")]
     found = written(found.select(*ends, "shard", "a"), "pairs")
-    pair = found.groupBy("g1", "g2").agg(F.first("a").alias("a"))
+    pair = written(found.groupBy("g1", "g2").agg(F.first("a").alias("a")), "pair-counts")
 
     # triples: extensions of those pairs
     known = local.select("shard", F.col("local").cast("bigint").alias("x"), F.col("gid").alias("y")).unionByName(
         found.select("shard", (-F.col("g1")).alias("x"), F.col("g2").alias("y")))
     triples = sequences.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_triples, _ddl(_TRIPLES))
     triple = written(triples.groupBy("g1", "g2", "g3").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "triples")
+    discard(shards, local, found)
 
     inside = triple.select("g1", "g2", "a").unionByName(triple.select(F.col("g2").alias("g1"), F.col("g3").alias("g2"), "a"))
     inside = inside.groupBy("g1", "g2").agg(F.max("a").alias("longest"))
-    pair = written(pair, "pair-counts")
     kept = pair.join(inside, ["g1", "g2"], "left").where(F.col("longest").isNull() | (100 * F.col("longest") < within * F.col("a"))).drop("longest")
 
     def looked(df: DataFrame, gid: str, suffix: str) -> DataFrame:

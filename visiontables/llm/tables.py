@@ -24,11 +24,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def discard(*steps: DataFrame) -> None:
-    """Delete tables of ``written`` that nothing will read again."""
+    """Delete tables of ``written`` that nothing will read again.
+
+    The driver's heap is collected too: only then does Spark delete the shuffle
+    files of the plans that made them.
+    """
     for df in steps:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._step)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if steps:
+        steps[0].sparkSession._jvm.System.gc()
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
