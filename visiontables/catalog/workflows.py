@@ -154,6 +154,21 @@ def segmented_documents(t):
                        F.size(F.filter("pred_masks", lambda m: m.isNotNull())).alias("masks"))
 
 
+@query("areas_from_replies", "big_images", _found("tank") + _AREAS.replace("from kd where no = 0", "from kd where no = 0 and (det_id + image_id) % 3 <> 0"))
+def areas_from_replies(t):
+    reply = F.when(F.col("image_id") % 2 == 0, F.lit('Here: {"primary_object": "tank", "keywords": ["tank", "ship"], "reasoning": "x"}')).otherwise(F.lit("no idea"))
+    asked = PI.with_keywords(_with_gsd(t, "unused", []).withColumns({"reply": reply, "query": F.lit("tank")})).drop("unused", "reply", "query")
+    return PI.measure_areas(asked, two_boxes, verifier=says_yes, threshold=0.3)[1]
+
+
+@query("count_answers", "big_images", _found("army tanks").replace(", no, ask)", ", ask)") + """
+select image_id, det_id, 'tank' as object_type, case when ok then greatest(u2 - u1, v2 - v1)::double - 1 end as bw, case when ok then least(u2 - u1, v2 - v1)::double - 1 end as bh
+ from (select *, m and (u2 - u1) * (v2 - v1) >= 10 and least(u2 - u1, v2 - v1) - 1 >= 5 as ok from kd) where (det_id + image_id) % 3 <> 0""")
+def count_answers(t):
+    objects, _, _ = PI.count_answer(t.big_images().withColumn("prompt", F.lit("army tanks")), two_boxes, says_yes, threshold=0.3)
+    return objects.select("image_id", "det_id", "object_type", F.round("bw", 6).alias("bw"), F.round("bh", 6).alias("bh"))
+
+
 def rates(rows: pd.DataFrame) -> str:
     word = lambda p: ("HIGH", "MEDIUM", "LOW")[int(p) % 3]
     return "\n".join(f"Mask {p}: {word(p)}" for p in rows["pos"])
@@ -163,6 +178,19 @@ def rates_again(rows: pd.DataFrame) -> str:
     return "\n".join(f"Mask {p}: high" for p in rows["pos"] if p % 2)
 
 
+@query("confident_documents", "big_images", _found("tank", "ship") + f"""
+, k2 as ({_greedy("kd", "score desc, det_id", ">= 0.4", "image_id")}),
+ s as (select kd.*, w, h, case when m then (u2 - u1) * (v2 - v1) else (x2 - x1) * (y2 - y1) end as area from kd join k2 on k2.image_id = kd.image_id and k2.det_id = kd.det_id join big_images b on b.image_id = kd.image_id),
+ f as (select * from s where area / (w * h) >= 0.002 and area / (w * h) <= 0.2 and (x2 - x1) / (y2 - y1) between 0.5 and 2),
+ n as (select *, row_number() over (partition by image_id order by det_id) as pos from f), d as (select *, count(*) filter (where pos % 3 <> 0) over (partition by image_id) as doubt from n),
+ c as (select * from d where pos % 3 <> 2 or (doubt > 1 and pos % 2 = 1))
+select b.image_id, count(det_id)::integer as n, max(score) as best from big_images b left join c on c.image_id = b.image_id group by 1""")
+def confident_documents(t):
+    docs = PI.segment(_with_gsd(t, "prompts", ["tank", "ship"]), two_boxes, threshold=0.3, attributes={"min_size": 0.002, "max_size": 0.2, "aspect": (0.5, 2.0)},
+                      assess=(rates, rates_again, 1))
+    return docs.select("image_id", F.size("pred_scores").alias("n"), F.get("pred_scores", F.lit(0)).alias("best"))
+
+
 @query("assessed_confidences", "detections", """
 select image_id, row_number() over (partition by image_id order by det_id) as pos,
  case (row_number() over (partition by image_id order by det_id)) % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence from detections""")

@@ -22,6 +22,7 @@ from visiontables.operators import overlap as O
 from visiontables.operators import tracks as K
 from visiontables.operators.numbering import position_in_order
 from visiontables.operators.select import within_capacity
+from visiontables.operators.tracks import clamped_counter
 from visiontables.session import checkpoint, is_empty
 
 FRAME, OBJ = K.FRAME, K.OBJ
@@ -184,46 +185,3 @@ def _opened(dets: DataFrame, live: DataFrame, tracks: DataFrame, pairs: DataFram
     placed = position_in_order(new.select(*FRAME, "det_id", *B.BOX, "score"), ["video_id"], [F.asc("frame_idx"), F.asc("det_id")], "_pos")
     placed = placed.join(top, "video_id", "left").withColumn("obj_id", F.coalesce("_top", F.lit(0)) + F.col("_pos"))
     return placed.select(*FRAME, "det_id", "obj_id", *B.BOX, "score")
-
-
-# ---- clamped counters -----------------------------------------------------------------------
-
-def clamped_counter(rows: DataFrame, keys: list[str], order: str, start: int, cap: int, floor: int, name: str = "alive",
-                    gain: Column | None = None, loss: Column | None = None, span: int = 64) -> DataFrame:
-    """``keys, order`` and a counter that gains one, at most to ``cap``, where ``gain`` (``matched``) holds and then
-    loses one, at least to ``floor``, where ``loss`` (``missed``) holds.
-
-    Such a step is "add d, then keep within lo and hi", and so is any run of
-    them. Runs of ``span`` rows are summed up, their runs in turn, and so on
-    until one is left; then every run starts from where the one before ended.
-    No array holds more than ``span`` rows of an object.
-    """
-    up = F.col("matched") if gain is None else gain
-    down = F.col("missed") if loss is None else loss
-    big = lambda v: F.lit(v).cast("bigint")
-    step = rows.select(
-        *keys, F.col(order).cast("bigint").alias(order), (F.when(up, big(1)).otherwise(big(0)) - F.when(down, big(1)).otherwise(big(0))).alias("d"),
-        big(floor).alias("lo"), F.when(up & down, big(max(floor, cap - 1))).otherwise(big(cap)).alias("hi"))
-    return _clamped(step, keys, order, start, span).select(*keys, order, F.col("_after").alias(name))
-
-
-def _clamped(steps: DataFrame, keys: list[str], order: str, start: int, span: int) -> DataFrame:
-    """``steps`` (keys, order, d, lo, hi) with the value before (``_before``) and after (``_after``) each."""
-    within = lambda s, x: F.least(s["hi"], F.greatest(s["lo"], x + s["d"]))
-    low, high = steps.agg(F.min(order), F.max(order)).first()
-    run = F.floor((F.col(order) - (low or 0)) / span)
-    runs = checkpoint(steps.withColumn("_run", run).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(order, "d", "lo", "hi"))).alias("_s")))
-    both = lambda a, s: F.struct((a["d"] + s["d"]).alias("d"), within(s, a["lo"]).alias("lo"), within(s, a["hi"]).alias("hi"))
-    zero = F.struct(F.get("_s", 0)["d"].alias("d"), F.get("_s", 0)["lo"].alias("lo"), F.get("_s", 0)["hi"].alias("hi"))
-    total = F.aggregate(F.slice("_s", 2, span), zero, both)
-    begin = F.lit(start).cast("bigint")
-    if low is not None and high - low >= span:
-        whole = runs.select(*keys, F.col("_run").alias("_at"), total.alias("_t")).select(*keys, "_at", "_t.*")
-        opened = _clamped(whole, keys, "_at", start, span).select(*keys, F.col("_at").alias("_run"), F.col("_before").alias("_x"))
-        runs = runs.join(opened, [*keys, "_run"])
-    else:
-        runs = runs.withColumn("_x", begin)
-    kind = f"array<struct<{order}:bigint,_before:bigint,_after:bigint>>"
-    out = lambda a, s: F.struct(within(s, a["x"]).alias("x"), F.concat(a["out"], F.array(F.struct(s[order].alias(order), a["x"].alias("_before"), within(s, a["x"]).alias("_after")))).alias("out"))
-    ran = F.aggregate("_s", F.struct(F.col("_x").alias("x"), F.array().cast(kind).alias("out")), out, lambda a: a["out"])
-    return runs.select(*keys, F.inline(ran))

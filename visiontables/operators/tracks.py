@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from visiontables.functions import boxes as B
 from visiontables.operators import overlap as O
 from visiontables.operators.select import position_in_group
+from visiontables.session import checkpoint
 
 OBJ = ["video_id", "obj_id"]
 FRAME = ["video_id", "frame_idx"]
@@ -306,35 +307,52 @@ def duplicate_pairs(matched: DataFrame, first: DataFrame) -> DataFrame:
     return pairs.groupBy(*OBJ, "first_obj").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def keep_alive(history: DataFrame, start: int = 30, cap: int = 30, floor: int = -1, span: int = 256) -> DataFrame:
+def keep_alive(history: DataFrame, start: int = 30, cap: int = 30, floor: int = -1, span: int = 64) -> DataFrame:
     """Counter that gains one per matched and loses one per missed frame,
-    held between ``floor`` and ``cap``.
+    held between ``floor`` and ``cap``."""
+    met = F.coalesce(F.col("matched"), F.lit(False))
+    return clamped_counter(history, OBJ, "frame_idx", start, cap, floor, "alive", met, ~met, span)
 
-    A run of such steps is itself "add, then clamp", so each block of frames
-    reduces to three numbers, blocks chain up, and every block then runs from
-    its own start.
+
+def clamped_counter(rows: DataFrame, keys: list[str], order: str, start: int, cap: int, floor: int, name: str = "alive",
+                    gain: Column | None = None, loss: Column | None = None, span: int = 64) -> DataFrame:
+    """``keys, order`` and a counter that gains one, at most to ``cap``, where ``gain`` (``matched``) holds and then
+    loses one, at least to ``floor``, where ``loss`` (``missed``) holds.
+
+    Such a step is "add d, then keep within lo and hi", and so is any run of
+    them. Runs of ``span`` rows are summed up, their runs in turn, and so on
+    until one is left; then every run starts from where the one before ended.
+    No array holds more than ``span`` rows of an object.
     """
-    lo, hi = F.lit(floor).cast("bigint"), F.lit(cap).cast("bigint")
-    held = lambda v: F.greatest(lo, F.least(hi, v))
-    h = history.withColumns({"_block": F.floor(F.col("frame_idx") / span),
-                             "_d": F.when(F.col("matched"), 1).otherwise(-1).cast("bigint")})
-    steps = h.groupBy(*OBJ, "_block").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "_d"))).alias("_s"))
-    ident = F.struct(F.lit(0).cast("bigint").alias("d"), lo.alias("lo"), hi.alias("hi"))
-    chain = lambda acc, d: F.struct((acc["d"] + d).alias("d"), held(acc["lo"] + d).alias("lo"), held(acc["hi"] + d).alias("hi"))
-    steps = steps.withColumn("_f", F.aggregate("_s", ident, lambda acc, s: chain(acc, s["_d"])))
+    up = F.col("matched") if gain is None else gain
+    down = F.col("missed") if loss is None else loss
+    big = lambda v: F.lit(v).cast("bigint")
+    step = rows.select(
+        *keys, F.col(order).cast("bigint").alias(order), (F.when(up, big(1)).otherwise(big(0)) - F.when(down, big(1)).otherwise(big(0))).alias("d"),
+        big(floor).alias("lo"), F.when(up & down, big(max(floor, cap - 1))).otherwise(big(cap)).alias("hi"))
+    return _clamped(step, keys, order, start, span).select(*keys, order, F.col("_after").alias(name))
+
+
+def _clamped(steps: DataFrame, keys: list[str], order: str, start: int, span: int) -> DataFrame:
+    """``steps`` (keys, order, d, lo, hi) with the value before (``_before``) and after (``_after``) each."""
+    within = lambda s, x: F.least(s["hi"], F.greatest(s["lo"], x + s["d"]))
+    low, high = steps.agg(F.min(order), F.max(order)).first()
+    run = F.floor((F.col(order) - (low or 0)) / span)
+    runs = checkpoint(steps.withColumn("_run", run).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(order, "d", "lo", "hi"))).alias("_s")))
+    both = lambda a, s: F.struct((a["d"] + s["d"]).alias("d"), within(s, a["lo"]).alias("lo"), within(s, a["hi"]).alias("hi"))
+    zero = F.struct(F.get("_s", 0)["d"].alias("d"), F.get("_s", 0)["lo"].alias("lo"), F.get("_s", 0)["hi"].alias("hi"))
+    total = F.aggregate(F.slice("_s", 2, span), zero, both)
     begin = F.lit(start).cast("bigint")
-    apply = lambda f, x: F.least(f["hi"], F.greatest(f["lo"], x + f["d"]))
-    blocks = steps.groupBy(*OBJ).agg(F.array_sort(F.collect_list(F.struct("_block", "_f"))).alias("_b"))
-    opened = F.aggregate(
-        "_b", F.struct(begin.alias("x"), F.transform(F.slice("_b", 1, 0), lambda b: F.struct(b["_block"].alias("_block"), begin.alias("_x"))).alias("out")),
-        lambda acc, b: F.struct(apply(b["_f"], acc["x"]).alias("x"),
-                                F.concat(acc["out"], F.array(F.struct(b["_block"].alias("_block"), acc["x"].alias("_x")))).alias("out")))
-    starts = blocks.select(*OBJ, F.inline(opened["out"]))
-    run = F.aggregate(
-        "_s", F.struct(F.col("_x").alias("x"), F.transform(F.slice("_s", 1, 0), lambda s: F.struct(s["frame_idx"].alias("frame_idx"), s["_d"].alias("alive"))).alias("out")),
-        lambda acc, s: F.struct(held(acc["x"] + s["_d"]).alias("x"),
-                                F.concat(acc["out"], F.array(F.struct(s["frame_idx"].alias("frame_idx"), held(acc["x"] + s["_d"]).alias("alive")))).alias("out")))
-    return steps.join(starts, [*OBJ, "_block"]).select(*OBJ, F.inline(run["out"]))
+    if low is not None and high - low >= span:
+        whole = runs.select(*keys, F.col("_run").alias("_at"), total.alias("_t")).select(*keys, "_at", "_t.*")
+        opened = _clamped(whole, keys, "_at", start, span).select(*keys, F.col("_at").alias("_run"), F.col("_before").alias("_x"))
+        runs = runs.join(opened, [*keys, "_run"])
+    else:
+        runs = runs.withColumn("_x", begin)
+    kind = f"array<struct<{order}:bigint,_before:bigint,_after:bigint>>"
+    out = lambda a, s: F.struct(within(s, a["x"]).alias("x"), F.concat(a["out"], F.array(F.struct(s[order].alias(order), a["x"].alias("_before"), within(s, a["x"]).alias("_after")))).alias("out"))
+    ran = F.aggregate("_s", F.struct(F.col("_x").alias("x"), F.array().cast(kind).alias("out")), out, lambda a: a["out"])
+    return runs.select(*keys, F.inline(ran))
 
 
 def processing_order(videos: DataFrame, most: int | None, reverse: bool) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visiontables.functions import boxes as B
 from visiontables.functions import text as X
+from visiontables.operators import components as C
 from visiontables.operators import filters as FL
 from visiontables.operators import measure as M
 from visiontables.operators import nms as N
@@ -86,6 +87,43 @@ def count_objects(images: DataFrame, detector: Callable, verifier: Callable, rep
     return rows.where("verified"), totals.withColumn("rejected", F.col("raw") - F.col("verified"))
 
 
+def count_answer(images: DataFrame, detector: Callable, verifier: Callable, rephrase: Callable | None = None, retries: int = 2,
+                 prompt: str = "prompt", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a count answers: its objects, a summary per attempt, and totals per image.
+
+    Objects are the verified rows with their ``object_type`` (from the prompt
+    they were found under) and, where they have a mask, its oriented box
+    (``cx, cy, bw, bh, angle``) and ``corners``, relative to the image. The
+    summary counts raw, verified and rejected rows of each image and attempt;
+    totals take the last attempt's verified and all rejected rows, and images
+    without any row have zeros.
+    """
+    masks: list[DataFrame] = []
+
+    def attempt(todo: DataFrame, n: int) -> DataFrame:
+        found, runs = infer(todo, detector, keep=(prompt,), **options)
+        masks.append(runs)
+        found = found.join(todo.select("image_id", "w", "h"), "image_id")
+        return H.verify(B.crop_window(found, "verify"), verifier, ["image_id", "det_id", "cx1", "cy1", "cx2", "cy2"]).drop("w", "h", "cx1", "cy1", "cx2", "cy2")
+
+    rows = H.retry_unresolved(images, attempt, rephrase or (lambda p, n: p), ["image_id"], retries if rephrase else 0, prompt)
+    good = checkpoint(rows.where("verified"))
+    runs = masks[0]
+    for more in masks[1:]:
+        runs = runs.unionByName(more)
+    box = C.obb_from_mask(_runs_of(runs, good), ["image_id", "det_id"]).join(images.select("image_id", F.col("w").alias("_iw"), F.col("h").alias("_ih")), "image_id")
+    box = box.withColumn("corners", B.obb_to_polygon(F.col("_iw"), F.col("_ih"))).drop("_iw", "_ih").withColumnsRenamed({"w": "bw", "h": "bh"})
+    objects = good.withColumn("object_type", X.object_type(F.col(prompt))).join(box, ["image_id", "det_id"], "left")
+    summary = checkpoint(M.verification_summary(rows, ["image_id"], F.col("verified")))
+    totals = images.select("image_id").join(M.verification_totals(summary, ["image_id"]), "image_id", "left")
+    return objects, summary, totals.na.fill(0, ["verified", "rejected", "attempts"])
+
+
+def with_keywords(images: DataFrame, reply: str = "reply", query: str = "query") -> DataFrame:
+    """Images with the ``keywords`` a model's reply names, or their query where it names none."""
+    return images.withColumn("keywords", X.extract_keywords(F.col(reply), F.col(query)))
+
+
 def measure_areas(images: DataFrame, detector: Callable, keywords: str = "keywords", verifier: Callable | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Areas per object and per image over several keywords, and the images
     whose ground resolution is not usable.
@@ -106,24 +144,46 @@ def measure_areas(images: DataFrame, detector: Callable, keywords: str = "keywor
 
 
 def segment(images: DataFrame, detector: Callable, prompts: str = "prompts", min_score: float = 0.0, wanted: DataFrame | None = None,
-            verdict: Callable | None = None, **options) -> DataFrame:
+            verdict: Callable | None = None, attributes: dict | None = None, pixels: DataFrame | None = None,
+            assess: tuple[Callable, Callable, int] | None = None, confident: tuple[str, ...] = ("HIGH", "MEDIUM"), **options) -> DataFrame:
     """One result document per image over all its prompts, with masks.
 
-    ``verdict`` replies on each detection; those without an Accept go, and an
-    image left without any has empty lists.
+    ``attributes`` (see ``filters.by_attributes``) filter by size, aspect, and
+    colour, for which ``pixels`` are needed; areas are those of masks, or of
+    boxes where there is none. ``assess`` holds two models and a limit (see
+    ``hooks.smart_confidence``); rows rated ``confident`` stay. ``verdict``
+    replies on each detection; those without an Accept go. An image left
+    without any has empty lists.
     """
     asked = images.select("*", F.posexplode(prompts).alias("prompt_no", "prompt")).drop(prompts)
     found, runs = infer(asked, detector, keep=("prompt_no", "prompt"), **options)
     runs = checkpoint(runs)
     rows = FL.by_confidence(N.mask_nms(found, runs, ["image_id"], 0.4), min_score)
+    if attributes:
+        rows = _with_attributes(rows, runs, images, pixels, attributes)
     if wanted is not None:
         rows = FL.select_by_index(rows, wanted, ["image_id", "det_id"])
+    if assess is not None:
+        first, again, limit = assess
+        rated = H.smart_confidence(checkpoint(rows), first, again, ["image_id"], limit)
+        rows = rated.where(F.col("confidence").isin(*confident)).select(*rows.columns)
     if verdict is not None:
         replies = rows.select("image_id", "det_id", X.verdict(H.ask(verdict, "image_id", "det_id", "prompt", "x1", "y1", "x2", "y2", "score")).alias("verdict"))
         rows = FL.accept_verdicts(rows, replies, ["image_id", "det_id"])
     return infer_documents(rows, images, runs)
 
 
+def _with_attributes(rows: DataFrame, runs: DataFrame, images: DataFrame, pixels: DataFrame | None, attributes: dict) -> DataFrame:
+    key = ["image_id", "det_id"]
+    mine = _runs_of(runs, rows)
+    d = rows.join(M.mask_area(mine, key), key, "left").join(images.select("image_id", "w", "h"), "image_id")
+    area = F.coalesce(F.col("area").cast("double"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    d = d.withColumns({"size_ratio": B.size_ratio(area, F.col("w"), F.col("h")), "aspect": B.aspect_ratio()})
+    if pixels is not None:
+        d = d.join(M.mean_color(rows, mine, pixels, key), key)
+    return FL.by_attributes(d, **attributes).select(*rows.columns)
+
+
 def infer_documents(rows: DataFrame, images: DataFrame, runs: DataFrame) -> DataFrame:
     """Documents with boxes relative to the image, and masks as compressed texts."""
     rel = B.normalize_boxes(rows.join(images.select("image_id", "w", "h"), "image_id"))
