@@ -209,3 +209,33 @@ def test_jitter_bounds(spark):
     for i, x1, y1, x2, y2, _, _ in rows:
         most = min((x2 - x1) * 0.1, 20.0)
         assert abs(a[i].x1 - x1) <= most and abs(a[i].x2 - x2) <= most and abs(a[i].y1 - y1) <= 5.0 and a[i].y2 != y2
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_labels_of_many_masks_at_once(seed):
+    """Against merging touching runs one by one."""
+    import random
+
+    from visiontables.operators.components import _SHIFT, _labels_of
+
+    rng = random.Random(seed)
+    masks = []
+    for _ in range(30):
+        rows = []
+        for x in rng.sample(range(15), rng.randrange(0, 12)):
+            at = rng.randrange(4)
+            while at < 30:
+                rows.append((x, at, at + rng.randrange(1, 6)))
+                at = rows[-1][2] + rng.randrange(1, 6)
+        masks.append(sorted(rows))
+    want = []
+    for rows in masks:
+        label = list(range(len(rows)))
+        for i, (x, a, b) in enumerate(rows):
+            for j, (y, c, d) in enumerate(rows[:i]):
+                if y == x - 1 and c <= b and a <= d and label[i] != label[j]:
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if k == high else k for k in label]
+        want.append([rows[k][0] * _SHIFT + rows[k][1] for k in label])
+    got = _labels_of([tuple(np.array([r[k] for r in rows], np.int64) for k in range(3)) for rows in masks])
+    assert [g.tolist() for g in got] == want
