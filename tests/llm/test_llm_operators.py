@@ -457,6 +457,32 @@ def test_gradients(monkeypatch):
             assert np.isclose((both[0] - both[1]) / (2 * e), grads[name].reshape(-1)[i], rtol=1e-3, atol=1e-6)
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_training_helps_on_texts_not_learnt_from(spark, partitions):
+    """Better than word counts on held-out documents, however the rows are dealt."""
+    from visiontables.llm.queries import remainder, table
+
+    documents = table(spark, "/root/testdata/sf0.01", "documents").repartition(partitions)
+    scores = language_model.score_messages(documents, remainder(7) != 2, message_id="doc_id").where(remainder(7) == 2)
+    score, base, tokens = scores.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert score / tokens > base / tokens + 0.03
+
+
+def test_short_windows_share_a_step(monkeypatch):
+    rng = np.random.default_rng(1)
+    reader = gru.Reader(gru.start(rng.integers(1, 50, 64), 4), 5)
+    before = {k: v.copy() for k, v in reader.model.items()}
+    memory: dict = {}
+    tokens = rng.integers(6, 64, 30)
+    tokens[-1] = 5
+    reader.train(tokens, np.array([0, 30]), 0.01, memory)
+    # fewer tokens than a step takes: nothing moves until the end, and then in proportion
+    assert memory["n"] == 30 and all((reader.model[k] == before[k]).all() for k in before)
+    reader.finish(0.01, memory)
+    moved = max(np.abs(reader.model[k] - before[k]).max() for k in before)
+    assert 0 < moved <= 0.01 * 30 / gru.STEP * 1.01
+
+
 def test_probabilities_sum_to_one():
     model = gru.start(np.arange(64), 4)
     reader = gru.Reader(model, 5)

@@ -7,6 +7,8 @@ import heapq
 import numpy as np
 
 CLASS = 32
+#: Tokens to a step, the largest mean gradient, and the steps after which the rate has fallen by the root of two.
+STEP, CLIP, SLOWER = 384, 1.0, 400
 #: Steps of back-propagation, and steps whose outputs are scored together.
 WINDOW = 24
 SCORED = 128
@@ -154,7 +156,12 @@ class Reader:
         return out
 
     def train(self, tokens: np.ndarray, first: np.ndarray, rate: float, memory: dict) -> None:
-        """A step of Adam for every window."""
+        """Gradients of every window; a step of Adam for every ``STEP`` tokens or more.
+
+        Windows of few tokens, as the last ones of long texts are, add up to a
+        step instead of making one each. ``memory`` keeps what is not yet
+        stepped; ``finish`` takes it.
+        """
         table = self.table()
         for _, _, stream, before, begin, t0, live, h in self.windows(tokens, first):
             keep: list = []
@@ -164,21 +171,41 @@ class Reader:
                 hidden.append(h)
                 at.append(begin[:k] + t0 + j)
             self.state = h
-            grads = {k: np.zeros_like(v) for k, v in self.model.items()}
+            grads = memory.setdefault("sum", {k: np.zeros_like(v) for k, v in self.model.items()})
             at = np.concatenate(at)
             _, back = self.output(np.concatenate(hidden), stream[at], grads)
             self._back(keep, back, live, grads)
-            n = _F(1 / len(at))
-            memory["t"] = memory.get("t", 0) + 1
-            for k, g in grads.items():
-                g *= n
-                m = memory.setdefault("m" + k, np.zeros_like(g))
-                v = memory.setdefault("v" + k, np.zeros_like(g))
-                m += _F(0.1) * (g - m)
-                v += _F(0.01) * (g * g - v)
-                t = memory["t"]
-                self.model[k] -= _F(rate) * (m / _F(1 - 0.9**t)) / (np.sqrt(v / _F(1 - 0.99**t)) + _F(1e-6))
-            table = self.table()
+            memory["n"] = memory.get("n", 0) + len(at)
+            if memory["n"] >= STEP:
+                self._step(rate, memory)
+                table = self.table()
+
+    def finish(self, rate: float, memory: dict) -> None:
+        """Step for what is left, in proportion, and take the mean of the weights after all steps, by their tokens."""
+        if memory.get("n"):
+            self._step(rate * min(1.0, memory["n"] / STEP), memory)
+        if memory.get("seen"):
+            for k in self.model:
+                self.model[k] = (memory["mean"][k] / memory["seen"]).astype(_F)
+
+    def _step(self, rate: float, memory: dict) -> None:
+        grads, n = memory.pop("sum"), memory.pop("n")
+        t = memory["t"] = memory.get("t", 0) + 1
+        norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values())) / n
+        scale = _F(min(1.0, CLIP / max(norm, 1e-12)) / n)
+        rate = rate / np.sqrt(1 + t / SLOWER)
+        mean = memory.setdefault("mean", {k: np.zeros(v.shape, np.float64) for k, v in self.model.items()})
+        # early steps are far from where training ends, so steps weigh more the later they are
+        weight = float(n) * t
+        memory["seen"] = memory.get("seen", 0.0) + weight
+        for k, g in grads.items():
+            g *= scale
+            m = memory.setdefault("m" + k, np.zeros_like(g))
+            v = memory.setdefault("v" + k, np.zeros_like(g))
+            m += _F(0.1) * (g - m)
+            v += _F(0.01) * (g * g - v)
+            self.model[k] -= _F(rate) * (m / _F(1 - 0.9**t)) / (np.sqrt(v / _F(1 - 0.99**t)) + _F(1e-6))
+            mean[k] += weight * self.model[k]
 
     def _back(self, keep: list, back: np.ndarray, live: list[int], grads: dict[str, np.ndarray]) -> None:
         w, u = self.width, self.model["state"]

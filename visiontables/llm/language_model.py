@@ -84,6 +84,7 @@ def _train(vocabulary, model, rate: float):
             reader.train(tokens, first, rate, memory)
             seen += len(tokens)
         if seen:
+            reader.finish(rate, memory)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([gru.packed(reader.model)], pa.binary())], names=["task", "weight", "model"])
 
     return run
@@ -152,7 +153,9 @@ def score_messages(messages: DataFrame, training: Column, message_id: str = "mes
 
     Words are counted over all training texts. Each task trains on its own
     texts, once and on every window of each, by back-propagation truncated to
-    windows; the tasks' weights are averaged, by their tokens and in two steps.
+    windows, a step per some 384 tokens or more at a falling rate; a task's weights are
+    the mean over its steps, and those of all tasks are averaged, by their
+    tokens and in two steps.
     Counts of the ``COMMON`` most frequent words are broadcast, a fixed bound;
     those of the other words, none of them frequent, are joined. A repeated row
     is repeated; without training rows only the ends of texts cost nothing.
