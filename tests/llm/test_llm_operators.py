@@ -226,9 +226,9 @@ def roots(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-def shingles(t):
+def shingles(t, width=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-    return frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
 @pytest.mark.parametrize("long_list", [32, 2])
